@@ -1,0 +1,27 @@
+"""Every registered query against its SQL twin."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as driver
+from tests.oracle import assert_same, run_sql
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_query_has_a_twin():
+    assert set(driver.queries()) == set(driver.oracle_sql())
+
+
+def test_entry(spark):
+    result = driver.entry(spark)
+    assert result.count() == 3_547
+
+
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_query_matches_sql(spark, name):
+    actual = driver.queries()[name](spark, SF).toPandas()
+    expected = run_sql(driver.oracle_sql()[name], SF)
+    assert len(actual) > 0
+    assert_same(actual, expected)

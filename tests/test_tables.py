@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from barloom import (
+    bars,
+    concat_timeframes,
+    latest_bars,
+    order_bars,
+    read_bars,
+    select_timeframes,
+    with_timeframe_info,
+    write_bars,
+)
+from barloom.sources.schemas import BAR_COLUMNS, BAR_SCHEMA
+from tests.fixtures import TRADE_SCHEMA, bar_table, collected, golden_rows, golden_trades, plan_of
+from tests.test_bars import random_trades
+
+CLEAN = sorted(golden_rows("AAABBB"), key=repr)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("replace", ["table", "symbols"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_round_trip(spark, conf, tmp_path, fmt, replace, zone):
+    conf("spark.sql.session.timeZone", zone)
+    rows = random_trades(2, 800, ["A/B", "1D", "007"], 4)
+    built = bars(spark.createDataFrame(rows, TRADE_SCHEMA))
+    write_bars(built, str(tmp_path), fmt, replace)
+    back = read_bars(spark, str(tmp_path), fmt)
+    assert back.dtypes == built.dtypes
+    assert collected(back) == collected(built.replace("A/B", "AB", subset="symbol"))
+
+
+def test_table_of_one_timeframe_keeps_its_label(spark, tmp_path):
+    write_bars(bars(golden_trades(spark), ["1D"]), str(tmp_path))
+    assert {row.timeframe for row in read_bars(spark, str(tmp_path)).collect()} == {"1D"}
+
+
+def test_csv_has_a_header_and_plain_text(spark, tmp_path):
+    rows = [
+        ("A", "1H", "2024-01-01 05:00", 12345678.0, 0.0001, None, 1.0, 1e16),
+        ("A", "1H", "2024-01-01 06:00:00.250", 1.0, 1.0, 1.0, 1.0, 1.0),
+    ]
+    write_bars(bar_table(spark, rows), str(tmp_path), fmt="csv")
+    (file,) = tmp_path.glob("symbol=A/timeframe=1H/*.csv")
+    assert file.read_text().splitlines() == [
+        "timestamp,open,high,low,close,volume",
+        "2024-01-01 05:00:00,12345678.0,0.0001,,1.0,1e+16",
+        "2024-01-01 06:00:00.25,1.0,1.0,1.0,1.0,1.0",
+    ]
+    assert collected(read_bars(spark, str(tmp_path), "csv")) == collected(bar_table(spark, rows))
+
+
+def test_replacing_a_table_removes_the_old_one(spark, tmp_path):
+    write_bars(bars(golden_trades(spark, "OLD")), str(tmp_path))
+    write_bars(bars(golden_trades(spark)), str(tmp_path))
+    assert collected(read_bars(spark, str(tmp_path))) == CLEAN
+
+
+def test_replacing_symbols_leaves_others_and_no_stale_section(spark, tmp_path):
+    path = str(tmp_path)
+    write_bars(bars(golden_trades(spark).union(golden_trades(spark, "X/Y"))), path, replace="symbols")
+    write_bars(bars(golden_trades(spark, "X/Y"), ["1D"]), path, replace="symbols")
+    back = read_bars(spark, path)
+    assert collected(back.where("symbol = 'AAABBB'")) == CLEAN
+    assert {row.timeframe for row in back.where("symbol = 'XY'").collect()} == {"1D"}
+
+
+def test_unknown_replace_mode(spark, tmp_path):
+    with pytest.raises(ValueError):
+        write_bars(bars(golden_trades(spark)), str(tmp_path), replace="some")
+
+
+def test_hot_symbol_is_split_over_files(spark, conf, tmp_path):
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200000")
+    rows = spark.range(60_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("S"), F.col("id") % 5)).otherwise("HOT").alias("symbol"),
+        F.lit("5M").alias("timeframe"),
+        F.timestamp_add("MINUTE", F.col("id"), F.expr("timestamp_ntz'2024-01-01'")).alias("timestamp"),
+        *[F.rand(i).alias(name) for i, name in enumerate(BAR_COLUMNS[3:])],
+    )
+    write_bars(rows, str(tmp_path))
+    assert len(list(Path(tmp_path).glob("symbol=HOT/timeframe=5M/*.parquet"))) > 1
+    assert read_bars(spark, str(tmp_path)).count() == 60_000
+
+
+def test_stored_timeframes_are_pruned_by_partition(spark, tmp_path):
+    write_bars(bars(golden_trades(spark)), str(tmp_path))
+    some = select_timeframes(read_bars(spark, str(tmp_path)), ["4H", "1H"])
+    assert "PartitionFilters: [timeframe" in plan_of(some)
+    assert collected(some) == [row for row in CLEAN if row[1] in ("4H", "1H")]
+
+
+def test_concat_keeps_duplicates_and_matches_columns_by_name(spark):
+    hourly = bars(golden_trades(spark), ["1H"]).drop("timeframe")
+    swapped = hourly.select("volume", *[name for name in hourly.columns if name != "volume"])
+    stacked = concat_timeframes({"1H": hourly.union(hourly), "X": swapped}).select(*BAR_COLUMNS)
+    ones = [row for row in golden_rows() if row[1] == "1H"]
+    expected = ones * 2 + [(row[0], "X", *row[2:]) for row in ones]
+    assert collected(stacked) == sorted(expected, key=repr)
+    with pytest.raises(ValueError):
+        concat_timeframes({})
+
+
+def test_ordered_bars(spark):
+    both = golden_trades(spark, "B").union(golden_trades(spark, "A"))
+    ordered = [tuple(row) for row in order_bars(bars(both).repartition(8)).collect()]
+    assert ordered == golden_rows("A") + golden_rows("B")
+
+
+def test_timeframe_info(spark):
+    rows = [("A", label, "2024-01-01", 1.0, 1.0, 1.0, 1.0, 1.0) for label in ("15M", "1D", "9Z")]
+    info = with_timeframe_info(bar_table(spark, rows)).select("timeframe", "section_no", "code", "seconds")
+    assert collected(info) == [("15M", 3, "15m", 900), ("1D", 0, "1d", 86_400), ("9Z", None, None, None)]
+
+
+def test_written_from_a_limited_table(spark, tmp_path):
+    kept = latest_bars(spark.createDataFrame(golden_rows(), BAR_SCHEMA), 1)
+    write_bars(kept, str(tmp_path))
+    assert read_bars(spark, str(tmp_path)).count() == 5
