@@ -144,9 +144,10 @@ def timeframe_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     forms = {"as_is": price, "times_1000": price * 1000, "per_billion": price / 1e9, "per_trillion": price / 1e12}
-    return _table(spark, sf_dir, "orders").select(
-        "o_orderkey", *[bl.number_text(value).alias(name) for name, value in forms.items()]
+    numbers = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", *[value.alias(name) for name, value in forms.items()]
     )
+    return bl.with_number_texts(numbers, *forms)
 
 
 def ordered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,12 @@
 """Multi-timeframe price bars on Spark."""
 
-from barloom.functions.text import clean_symbol, document_name, number_text, stamp_text
+from barloom.functions.text import (
+    clean_symbol,
+    document_name,
+    number_text,
+    stamp_text,
+    with_number_texts,
+)
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, section_no, with_timeframe_info
 from barloom.functions.timestamps import epoch_ms_to_timestamp, timestamp_to_epoch_ms
 from barloom.operators.bars import bars, roll_up
@@ -47,6 +53,7 @@ __all__ = [
     "select_timeframes",
     "stamp_text",
     "timestamp_to_epoch_ms",
+    "with_number_texts",
     "with_timeframe_info",
     "write_bars",
     "write_documents",

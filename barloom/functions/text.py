@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,28 @@ def number_text(number: Column) -> Column:
     exponent = F.regexp_replace(text, r"(\.0)?E", "e")
     exponent = F.regexp_replace(exponent, r"e(\d)", "e+$1")
     exponent = F.regexp_replace(exponent, r"(e[+-])(\d)$", "$10$2")
+    short = F.replace(F.nullif(text, F.lit("NaN")), F.lit("Infinity"), F.lit("inf"))
     size = F.abs(number)
     return (
-        F.when(F.isnan(number), F.lit(None))
-        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
-        .when(~F.contains(text, F.lit("E")), text)
+        F.when(~F.contains(text, F.lit("E")), short)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(exponent)
     )
 
 
+def with_number_texts(df: DataFrame, *names: str) -> DataFrame:
+    """Replace double columns by their text.
+
+    All go through one array expression: a copy of the text rules per column
+    would make a generated method too large for the JVM to compile.
+    """
+    return (
+        df.withColumn("texts", F.transform(F.array(*names), number_text))
+        .withColumns({name: F.get("texts", i) for i, name in enumerate(names)})
+        .drop("texts")
+    )
+
+
 def stamp_text(ts: Column, *series: str) -> Column:
     """A zone-less timestamp as text, in one style for the whole series.
 

@@ -19,10 +19,23 @@ def epoch_ms_to_timestamp(ms: Column) -> Column:
     return F.timestamp_add("MILLISECOND", ms.cast("bigint"), F.expr(_EPOCH))
 
 
+def _since_epoch(ts: Column) -> Column:
+    return (ts - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)")
+
+
 def timestamp_to_epoch_ms(ts: Column) -> Column:
     """Zone-less UTC timestamp to whole epoch milliseconds, rounding down."""
-    seconds = (ts - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)")
-    return F.floor(seconds * 1000).cast("bigint")
+    return F.floor(_since_epoch(ts) * 1000).cast("bigint")
+
+
+def timestamp_to_epoch_seconds(ts: Column) -> Column:
+    """Zone-less UTC timestamp to whole epoch seconds, rounding down."""
+    return F.floor(_since_epoch(ts)).cast("bigint")
+
+
+def epoch_seconds_to_timestamp(seconds: Column) -> Column:
+    """Epoch seconds to a zone-less UTC timestamp."""
+    return F.timestamp_add("SECOND", seconds, F.expr(_EPOCH))
 
 
 def to_utc_ntz(ts: Column) -> Column:

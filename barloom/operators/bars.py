@@ -5,13 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, resolve
-from barloom.functions.timestamps import bucket_start, to_utc_ntz
-from barloom.sources.schemas import BAR_COLUMNS
+from barloom.functions.timestamps import (
+    bucket_start,
+    epoch_seconds_to_timestamp,
+    timestamp_to_epoch_seconds,
+    to_utc_ntz,
+)
+from barloom.sources.schemas import MEASURES
 
 
 def bars(
@@ -37,7 +42,9 @@ def bars(
     base = Timeframe("base", "base", math.gcd(*[frame.seconds for frame in frames]))
     base_bars = _base_bars(trades, base.seconds, order_by)
     if len(frames) == 1:
-        return base_bars.withColumn("timeframe", F.lit(frames[0].label)).select(*BAR_COLUMNS)
+        return base_bars.select(
+            "symbol", F.lit(frames[0].label).alias("timeframe"), "timestamp", *MEASURES
+        )
     return roll_up(base_bars, frames, base)
 
 
@@ -59,8 +66,7 @@ def _base_bars(trades: DataFrame, seconds: int, order_by: str | Sequence[str]) -
             F.max_by("price", order).alias("close"),
             F.sum("size").alias("volume"),
         )
-        .withColumn("timestamp", to_utc_ntz(start) if zoned else start)
-        .drop("start")
+        .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *MEASURES)
     )
 
 
@@ -86,26 +92,23 @@ def roll_up(
     # then moves each base bar once, and not once per timeframe.
     longest = max(frame.seconds for frame in frames)
     nested = all(longest % frame.seconds == 0 for frame in frames)
-    rows = base_bars
+    rows = base_bars.select(
+        "symbol",
+        "timestamp",
+        *MEASURES,
+        timestamp_to_epoch_seconds(F.col("timestamp")).alias("at"),
+    )
     keys = ["symbol", "timeframe", "start"]
     if nested:
-        rows = rows.withColumn("span", bucket_start(F.col("timestamp"), longest))
+        rows = rows.withColumn("span", F.expr(f"at - pmod(at, {longest}L)"))
         rows = rows.repartition("symbol", "span")
         keys.insert(1, "span")
-
-    # One window expression per projection is all the analyzer allows.
-    for i, frame in enumerate(frames):
-        rows = rows.withColumn(f"start_{i}", bucket_start(F.col("timestamp"), frame.seconds))
-    targets = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(frame.label).alias("timeframe"), F.col(f"start_{i}").alias("start"))
-                for i, frame in enumerate(frames)
-            ]
-        )
+    starts = ", ".join(
+        f"struct('{frame.label}' as timeframe, at - pmod(at, {frame.seconds}L) as start)"
+        for frame in frames
     )
     return (
-        rows.select(*_present(rows, "symbol", "span", *BAR_COLUMNS[2:]), targets)
+        rows.select("*", F.expr(f"inline(array({starts}))"))
         .groupBy(*keys)
         .agg(
             F.min_by("open", "timestamp").alias("open"),
@@ -114,10 +117,10 @@ def roll_up(
             F.max_by("close", "timestamp").alias("close"),
             F.sum("volume").alias("volume"),
         )
-        .withColumnRenamed("start", "timestamp")
-        .select(*BAR_COLUMNS)
+        .select(
+            "symbol",
+            "timeframe",
+            epoch_seconds_to_timestamp(F.col("start")).alias("timestamp"),
+            *MEASURES,
+        )
     )
-
-
-def _present(df: DataFrame, *names: str) -> list[Column]:
-    return [F.col(name) for name in names if name in df.columns]

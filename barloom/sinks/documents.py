@@ -13,8 +13,6 @@ from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
 from barloom.operators.select import select_timeframes
 from barloom.sources.schemas import BAR_FIELDS, MEASURES
 
-_LINES = "array<struct<section_no:int,part:int,timestamp:timestamp_ntz,line:string>>"
-
 
 def document_lines(
     bars: DataFrame,
@@ -36,14 +34,15 @@ def document_lines(
     """
     frames = resolve(timeframes)
     kept = latest_bars(select_timeframes(bars, frames), limit)
-    values = [F.coalesce(number_text(F.col(name)), F.lit("")) for name in MEASURES]
+    # One array expression for the five measures keeps the generated code small.
+    numbers = F.transform(F.array(*MEASURES), number_text)
     stamp = stamp_text(F.col("timestamp"), "symbol", "timeframe")
     has_bar = F.coalesce(*[F.col(name).cast("string") for name in BAR_FIELDS]).isNotNull()
     rows = kept.select(
         "symbol",
         section_no(F.col("timeframe"), frames).cast("int").alias("section_no"),
         "timestamp",
-        F.when(has_bar, F.concat_ws(",", F.coalesce(stamp, F.lit("")), *values)).alias("line"),
+        F.when(has_bar, F.array_join(F.concat(F.array(stamp), numbers), ",", "")).alias("line"),
     )
     if symbols:
         listed = F.explode(F.array(*[F.lit(symbol) for symbol in symbols]))
@@ -53,13 +52,17 @@ def document_lines(
     # The fixed lines ride on one row of each symbol, so the bars are computed
     # once and the symbols need no second pass or join.
     one_row = Window.partitionBy("symbol").orderBy("section_no", "timestamp")
-    own = _line(F.col("section_no"), 2, F.col("line"), F.col("timestamp"))
-    nothing = F.array().cast(_LINES)
-    lines = F.concat(
-        F.when(F.col("line").isNotNull(), F.array(own)).otherwise(nothing),
-        F.when(F.row_number().over(one_row) == 1, _fixed_lines(frames, footer_lines)).otherwise(nothing),
+    own = F.array(_line(F.col("section_no"), 2, F.col("line"), F.col("timestamp")))
+    return (
+        rows.withColumn("first", F.row_number().over(one_row) == 1)
+        .select(
+            "symbol",
+            F.inline_outer(
+                F.when(F.col("first"), F.concat(own, _fixed_lines(frames, footer_lines))).otherwise(own)
+            ),
+        )
+        .where(F.col("line").isNotNull())
     )
-    return rows.withColumn("lines", lines).select("symbol", F.inline("lines"))
 
 
 def _line(section: Column | int, part: int, text: Column | str, ts: Column | None = None) -> Column:
@@ -76,16 +79,14 @@ def _line(section: Column | int, part: int, text: Column | str, ts: Column | Non
 
 def _fixed_lines(frames: Sequence[Timeframe], footer_lines: Sequence[str]) -> Column:
     # The wording of the lines around the bars.
-    lines = [
-        _line(-1, 0, F.concat(F.lit("# SYMBOL: "), clean_symbol(F.col("symbol")))),
-        _line(-1, 1, "# FORMAT: OHLCV"),
-    ]
+    title = F.concat(F.lit("# SYMBOL: "), clean_symbol(F.col("symbol")))
+    lines = [_line(-1, 1, "# FORMAT: OHLCV")]
     for i, frame in enumerate(frames):
         lines.append(_line(i, 0, f"# TIMEFRAME: {frame.label}"))
         lines.append(_line(i, 1, ",".join(BAR_FIELDS)))
         lines.append(_line(i, 3, ""))
     lines += [_line(len(frames), i, text) for i, text in enumerate(footer_lines)]
-    return F.array(*lines)
+    return F.concat(F.array(_line(-1, 0, title)), F.array(*lines))
 
 
 def write_documents(

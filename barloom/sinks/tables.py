@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.text import clean_symbol, number_text
+from barloom.functions.text import clean_symbol, with_number_texts
 from barloom.sources.schemas import BAR_COLUMNS, MEASURES
 
 
@@ -34,12 +34,8 @@ def write_bars(
         .sortWithinPartitions("symbol", "timeframe", "timestamp")
     )
     if fmt == "csv":
-        rows = rows.withColumns(
-            {
-                "timestamp": F.col("timestamp").cast("string"),
-                **{name: number_text(F.col(name)) for name in MEASURES},
-            }
-        )
+        rows = rows.withColumn("timestamp", F.col("timestamp").cast("string"))
+        rows = with_number_texts(rows, *MEASURES)
     writer = rows.write.mode("overwrite").partitionBy(*layout).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
