@@ -28,19 +28,19 @@ def timestamp_to_epoch_ms(ts: Column) -> Column:
     return F.floor(_since_epoch(ts) * 1000).cast("bigint")
 
 
-def timestamp_to_epoch_seconds(ts: Column) -> Column:
-    """Zone-less UTC timestamp to whole epoch seconds, rounding down."""
-    return F.floor(_since_epoch(ts)).cast("bigint")
+def timestamp_to_epoch_us(ts: Column) -> Column:
+    """Zone-less UTC timestamp to epoch microseconds."""
+    return (_since_epoch(ts) * 1_000_000).cast("bigint")
 
 
-def epoch_seconds_to_timestamp(seconds: Column) -> Column:
-    """Epoch seconds to a zone-less UTC timestamp."""
-    return F.timestamp_add("SECOND", seconds, F.expr(_EPOCH))
+def epoch_us_to_timestamp(us: Column) -> Column:
+    """Epoch microseconds to a zone-less UTC timestamp."""
+    return F.timestamp_add("MICROSECOND", us, F.expr(_EPOCH))
 
 
 def to_utc_ntz(ts: Column) -> Column:
     """A zoned timestamp (an instant) to its zone-less UTC value."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.expr(_EPOCH))
+    return epoch_us_to_timestamp(F.unix_micros(ts))
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql.types import TimestampType
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, resolve
 from barloom.functions.timestamps import (
     bucket_start,
-    epoch_seconds_to_timestamp,
-    timestamp_to_epoch_seconds,
+    epoch_us_to_timestamp,
+    timestamp_to_epoch_us,
     to_utc_ntz,
 )
 from barloom.sources.schemas import MEASURES
@@ -92,35 +92,36 @@ def roll_up(
     # then moves each base bar once, and not once per timeframe.
     longest = max(frame.seconds for frame in frames)
     nested = all(longest % frame.seconds == 0 for frame in frames)
-    rows = base_bars.select(
-        "symbol",
-        "timestamp",
-        *MEASURES,
-        timestamp_to_epoch_seconds(F.col("timestamp")).alias("at"),
-    )
-    keys = ["symbol", "timeframe", "start"]
+    at = timestamp_to_epoch_us(F.col("timestamp"))
+    rows = base_bars.select("symbol", *MEASURES, at.alias("at"))
+    keys = ["symbol", "section", "start"]
     if nested:
-        rows = rows.withColumn("span", F.expr(f"at - pmod(at, {longest}L)"))
-        rows = rows.repartition("symbol", "span")
+        rows = rows.withColumn("span", F.expr(_floor(longest))).repartition("symbol", "span")
         keys.insert(1, "span")
-    starts = ", ".join(
-        f"struct('{frame.label}' as timeframe, at - pmod(at, {frame.seconds}L) as start)"
-        for frame in frames
+    # Numbers as keys: hashing a label per row would cost more than the rest.
+    targets = ", ".join(
+        f"struct({i} as section, {_floor(frame.seconds)} as start)"
+        for i, frame in enumerate(frames)
     )
+    labels = F.array(*[F.lit(frame.label) for frame in frames])
     return (
-        rows.select("*", F.expr(f"inline(array({starts}))"))
+        rows.select("*", F.expr(f"inline(array({targets}))"))
         .groupBy(*keys)
         .agg(
-            F.min_by("open", "timestamp").alias("open"),
+            F.min_by("open", "at").alias("open"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
-            F.max_by("close", "timestamp").alias("close"),
+            F.max_by("close", "at").alias("close"),
             F.sum("volume").alias("volume"),
         )
         .select(
             "symbol",
-            "timeframe",
-            epoch_seconds_to_timestamp(F.col("start")).alias("timestamp"),
+            F.get(labels, F.col("section")).alias("timeframe"),
+            epoch_us_to_timestamp(F.col("start")).alias("timestamp"),
             *MEASURES,
         )
     )
+
+
+def _floor(seconds: int) -> str:
+    return f"at - pmod(at, {seconds * 1_000_000}L)"
