@@ -143,7 +143,12 @@ def timeframe_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
-    forms = {"as_is": price, "times_1000": price * 1000, "per_billion": price / 1e9, "per_trillion": price / 1e12}
+    forms = {
+        "as_is": price,
+        "times_1000": price * 1000,
+        "per_billion": price / 1e9,
+        "per_trillion": price / 1e12,
+    }
     numbers = _table(spark, sf_dir, "orders").select(
         "o_orderkey", *[value.alias(name) for name, value in forms.items()]
     )
@@ -305,9 +310,10 @@ def _select(condition: str = "newest <= 500", source: str = _BARS) -> str:
 
 def _lines(source: str, labels: Sequence[str], footer: Sequence[str] = ()) -> str:
     """The document lines of every symbol, as a ``lines`` table after ``source``."""
-    fixed = [f"(-1, 0, '# SYMBOL: ' || symbol), (-1, 1, '# FORMAT: OHLCV')"]
+    header = ",".join(BAR_FIELDS)
+    fixed = ["(-1, 0, '# SYMBOL: ' || symbol), (-1, 1, '# FORMAT: OHLCV')"]
     for i, label in enumerate(labels):
-        fixed.append(f"({i}, 0, '# TIMEFRAME: {label}'), ({i}, 1, '{','.join(BAR_FIELDS)}'), ({i}, 3, '')")
+        fixed.append(f"({i}, 0, '# TIMEFRAME: {label}'), ({i}, 1, '{header}'), ({i}, 3, '')")
     fixed += [f"({len(labels)}, {i}, '{text}')" for i, text in enumerate(footer)]
     return f"""{source},
 kept as (

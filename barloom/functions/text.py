@@ -13,6 +13,7 @@ def clean_symbol(symbol: Column, removed: str = "/") -> Column:
 
 def document_name(symbol: Column) -> Column:
     """File name of a symbol's document, from its cleaned form."""
+    # Fixed value: the ending of every document's name.
     return F.concat(clean_symbol(symbol), F.lit("_MTF_OHLCV.csv"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -49,8 +49,8 @@ def bars(
 
 
 def _base_bars(trades: DataFrame, seconds: int, order_by: str | Sequence[str]) -> DataFrame:
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    order = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    keys = [f"`{key}`" for key in ([order_by] if isinstance(order_by, str) else order_by)]
+    order = keys[0] if len(keys) == 1 else f"struct({', '.join(keys)})"
     # A zoned column is bucketed as the instant it is; only the few bar starts
     # are turned into zone-less UTC, after the aggregation.
     zoned = isinstance(trades.schema["ts"].dataType, TimestampType)
@@ -59,13 +59,7 @@ def _base_bars(trades: DataFrame, seconds: int, order_by: str | Sequence[str]) -
         trades.where(F.col("price").isNotNull())
         .withColumn("start", bucket_start(F.col("ts"), seconds))
         .groupBy("symbol", "start")
-        .agg(
-            F.min_by("price", order).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
-            F.sum("size").alias("volume"),
-        )
+        .agg(*_measures("price", "price", "price", "price", "size", order))
         .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *MEASURES)
     )
 
@@ -107,13 +101,7 @@ def roll_up(
     return (
         rows.select("*", F.expr(f"inline(array({targets}))"))
         .groupBy(*keys)
-        .agg(
-            F.min_by("open", "at").alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", "at").alias("close"),
-            F.sum("volume").alias("volume"),
-        )
+        .agg(*_measures("open", "high", "low", "close", "volume", "at"))
         .select(
             "symbol",
             F.get(labels, F.col("section")).alias("timeframe"),
@@ -123,5 +111,17 @@ def roll_up(
     )
 
 
+def _measures(
+    opens: str, highs: str, lows: str, closes: str, volumes: str, order: str
+) -> list[Column]:
+    return [
+        F.expr(f"min_by({opens}, {order}) as open"),
+        F.expr(f"max({highs}) as high"),
+        F.expr(f"min({lows}) as low"),
+        F.expr(f"max_by({closes}, {order}) as close"),
+        F.expr(f"sum({volumes}) as volume"),
+    ]
+
+
 def _floor(seconds: int) -> str:
     return f"at - pmod(at, {seconds * 1_000_000}L)"

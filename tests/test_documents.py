@@ -6,24 +6,28 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barloom import (
     TIMEFRAMES,
     bars,
     document_lines,
     latest_bars,
-    name_bars,
     read_raw_bars,
     report_from_raw,
     report_from_trades,
     write_documents,
 )
 from barloom.__main__ import main
-from barloom.sources.schemas import BAR_FIELDS, BAR_SCHEMA
-from tests.fixtures import GOLDEN_DOCUMENT_START, bar_table, golden_trades, plan_of, stamp
+from barloom.sources.schemas import BAR_FIELDS, BAR_SCHEMA, RAW_BAR_SCHEMA
+from tests.fixtures import (
+    GOLDEN_DOCUMENT_START,
+    TRADE_SCHEMA,
+    bar_table,
+    golden_trades,
+    plan_of,
+    stamp,
+)
 from tests.test_bars import random_trades
-from tests.fixtures import TRADE_SCHEMA
 
 LABELS = [frame.label for frame in TIMEFRAMES]
 EMPTY_SECTION = "# TIMEFRAME: {}\n" + ",".join(BAR_FIELDS) + "\n\n"
@@ -121,7 +125,7 @@ def test_raw_bars_with_gaps_and_empty_series(spark, tmp_path):
 
 
 def test_empty_pull_without_a_symbol_list_keeps_its_document(spark, tmp_path):
-    raw = spark.createDataFrame([("X/Y", "1H", [])], "symbol string, timeframe string, ohlcv array<array<double>>")
+    raw = spark.createDataFrame([("X/Y", "1H", [])], RAW_BAR_SCHEMA)
     report_from_raw(raw, str(tmp_path), timeframes=["1H"])
     assert documents(tmp_path) == {
         "XY": "# SYMBOL: XY\n# FORMAT: OHLCV\n" + EMPTY_SECTION.format("1H")

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import io
 import math
 import random
 import struct
@@ -90,6 +89,6 @@ def test_stamps_print_like_a_data_frame(spark, conf, zone, stamps):
     df = spark.createDataFrame(rows, "s string, ts timestamp_ntz")
     printed = df.select("s", "ts", stamp_text(F.col("ts"), "s").alias("t")).where("s = 'A'")
     frame = pd.DataFrame({"ts": pd.to_datetime([row[1] for row in rows[:-1]])})
-    lines = frame.to_csv(io.StringIO(), index=False) or frame.to_csv(index=False)
-    expected = [line.strip('"') for line in lines.split("\n")[1:-1]]
+    lines = frame.to_csv(index=False).split("\n")[1:-1]
+    expected = [line.strip('"') for line in lines]
     assert sorted(row.t or "" for row in printed.collect()) == sorted(expected)
