@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import barloom as bl
+from barloom.functions.timestamps import timestamp_to_epoch_us
 from barloom.sources.schemas import BAR_COLUMNS, BAR_FIELDS
 
 
@@ -96,6 +97,45 @@ def daily_latest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.latest_from_trades(_orders(spark, sf_dir), timeframes=["1D"], order_by=order)
 
 
+def tied_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All timeframes with a second ordering column, in case stamps repeat."""
+    events = _table(spark, sf_dir, "events")
+    size = F.get_json_object("props", "$.k")
+    trades = bl.as_trades(events, "event_type", "ts", "value", size, "event_id")
+    return bl.bars(trades, order_by=("ts", "event_id"))
+
+
+def zoned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trades with their times given as instants."""
+    trades = _trades(spark, sf_dir)
+    instant = F.timestamp_micros(timestamp_to_epoch_us(F.col("ts")))
+    return bl.bars(trades.withColumn("ts", instant))
+
+
+def custom_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeframes that do not nest in each other."""
+    frames = [bl.Timeframe("3H", "3h", 10_800), bl.Timeframe("2H", "2h", 7_200)]
+    return bl.bars(_trades(spark, sf_dir), frames)
+
+
+def supplier_latest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many symbols on the largest table: weekly and daily bars per supplier."""
+    lines = _table(spark, sf_dir, "lineitem")
+    trades = bl.as_trades(
+        lines,
+        F.col("l_suppkey").cast("string"),
+        "l_shipdate",
+        "l_extendedprice",
+        "l_quantity",
+        "l_orderkey",
+        "l_linenumber",
+    )
+    # Line numbers repeat within an order, so the price settles what is left.
+    order = ("ts", "l_orderkey", "l_linenumber", "price")
+    frames = [bl.Timeframe("1W", "1w", 604_800), "1D"]
+    return bl.latest_from_trades(trades, timeframes=frames, limit=100, order_by=order)
+
+
 def raw_bars_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.name_bars(_raw(_latest(spark, sf_dir)))
 
@@ -247,6 +287,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         symbol_bars,
         daily_bars,
         daily_latest_bars,
+        tied_bars,
+        zoned_bars,
+        custom_timeframes,
+        supplier_latest_bars,
         raw_bars_named,
         raw_bar_scan,
         raw_latest_100,
@@ -278,6 +322,9 @@ _TF = """tf(section_no, timeframe, code, secs) as (
          (2, '1H', '1h', 3600::bigint), (3, '15M', '15m', 900::bigint),
          (4, '5M', '5m', 300::bigint))"""
 
+_CUSTOM_TF = """tf(section_no, timeframe, code, secs) as (
+  values (0, '3H', '3h', 10800::bigint), (1, '2H', '2h', 7200::bigint))"""
+
 _BARS = f"""with {_TF},
 bars as (
   select event_type as symbol, section_no, timeframe, code, secs,
@@ -301,6 +348,19 @@ ranked as (
   select *, row_number() over (partition by symbol, timeframe order by "timestamp" desc) as newest
   from bars)"""
 
+_SUPPLIERS = """with tf(timeframe, secs) as (values ('1W', 604800::bigint), ('1D', 86400::bigint)),
+bars as (
+  select l_suppkey::varchar as symbol, timeframe,
+         make_timestamp((epoch_us(l_shipdate) // (secs * 1000000)) * secs * 1000000) as "timestamp",
+         first(l_extendedprice order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as open,
+         max(l_extendedprice) as high, min(l_extendedprice) as low,
+         last(l_extendedprice order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as close,
+         sum(l_quantity) as volume
+  from lineitem cross join tf group by 1, 2, 3),
+ranked as (
+  select *, row_number() over (partition by symbol, timeframe order by "timestamp" desc) as newest
+  from bars)"""
+
 _COLUMNS = 'symbol, timeframe, "timestamp", open, high, low, close, volume'
 
 
@@ -350,6 +410,10 @@ from lines"""
         "symbol_bars": _select("newest <= 500 and symbol = 'click'"),
         "daily_bars": _select("true", _DAILY),
         "daily_latest_bars": _select(source=_DAILY),
+        "tied_bars": _select("true"),
+        "zoned_bars": _select("true"),
+        "custom_timeframes": _select("true", _BARS.replace(_TF, _CUSTOM_TF)),
+        "supplier_latest_bars": _select("newest <= 100", _SUPPLIERS),
         "raw_bars_named": latest,
         "raw_bar_scan": _select("newest <= 500 and timeframe in ('4H', '5M')"),
         "raw_latest_100": _select("newest <= 100"),
