@@ -81,3 +81,14 @@ def test_no_query_runs_python_or_crosses_tables(spark):
         plan = plan_of(query(spark, SF))
         for word in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
             assert word not in plan, (name, word)
+
+
+def test_time_filter_on_trades_reaches_the_scan(trades):
+    plan = plan_of(latest_from_trades(trades.where("ts >= timestamp_ntz'2024-01-20'")))
+    assert "GreaterThanOrEqual(ts,2024-01-20" in plan
+
+
+def test_larger_limits_keep_the_cut_when_the_threshold_allows(trades, conf):
+    assert "Partial" not in plan_of(latest_bars(bars(trades), 2_000))
+    conf("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
+    assert "row_number(), 2000, Partial" in plan_of(latest_bars(bars(trades), 2_000))
