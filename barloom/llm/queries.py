@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import sharding
+from barloom.llm import quality, sharding
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -41,8 +41,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule counts and the verdict of rules and isolation forest."""
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    counts = [c for c in quality.COUNTS if c != "n_lines"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sharding]
+    named = [op1_sharding, op3_quality_rules]
     return {query.__name__: query for query in named}
 
 
