@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import quality, sharding
+from barloom.llm import decontaminate, quality, sharding
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -49,10 +49,54 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that benchmark windows cover, and the items hit."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sharding, op3_quality_rules]
+    named = [op1_sharding, op3_quality_rules, op4_decontamination]
     return {query.__name__: query for query in named}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL_WORDS = (
+    f"regexp_extract_all({_LOWER.format('text')}, "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+_DECONTAMINATION = f"""
+with item_words as (select item_id::varchar as item, {_NORMAL_WORDS} as words from benchmark),
+windows as (
+  select distinct item, list_slice(words, i, i + 9) as win
+  from (select item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i
+        from item_words where len(words) > 0)),
+lengths as (select distinct len(win) as n from windows),
+doc_words as (select doc_id, coalesce({_NORMAL_WORDS}, []) as words from documents),
+stretches as (
+  select doc_id, i, n, list_slice(words, i, i + n - 1) as win
+  from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i
+        from doc_words cross join lengths)),
+hits as (select doc_id, i, n, item from stretches join windows using (win)),
+hit_words as (
+  select doc_id, count(distinct place) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as place from hits) group by 1),
+hit_items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from hits) group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join hit_words using (doc_id) left join hit_items using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": _DECONTAMINATION}
