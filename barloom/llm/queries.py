@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, quality, sharding
+from barloom.llm import decontaminate, pieces, quality, sharding, token_files
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
+PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +65,28 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Every document's ids and decoded text, as digests, and the bytes its pieces span."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, public_tokenizers.path(model), decoded=True)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
+    """All documents written as files of directly addressable codes and read back."""
+    path = scratch_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), path)
+    return token_files.read(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sharding, op3_quality_rules, op4_decontamination]
+    named = [op1_sharding, op3_quality_rules, op4_decontamination, op5_sentencepiece, op9_token_files]
     return {query.__name__: query for query in named}
 
 
