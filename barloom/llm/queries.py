@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, pieces, quality, sharding, token_files
+from barloom.llm import decontaminate, html_text, langid, pieces, quality, sharding, token_files
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -78,6 +78,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.learn(docs.where("doc_id is not null and not held_out"))
+    guessed = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return guessed.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     """All documents written as files of directly addressable codes and read back."""
     path = scratch_folder(spark, "tokens")
@@ -85,8 +93,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE)
     return token_files.read(spark, path, with_ids=False)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sharding, op3_quality_rules, op4_decontamination, op5_sentencepiece, op9_token_files]
+    named = [
+        op1_sharding,
+        op3_quality_rules,
+        op4_decontamination,
+        op5_sentencepiece,
+        op7_language_id,
+        op9_token_files,
+        op10_html_extraction,
+    ]
     return {query.__name__: query for query in named}
 
 
