@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, langid, pieces, quality, sharding, token_files
+from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, sharding, token_files
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -78,6 +78,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 90 % Jaccard on three-word shingles."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from four fifths of the documents."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_quality_rules,
         op4_decontamination,
         op5_sentencepiece,
+        op6_ngram_join,
         op7_language_id,
         op9_token_files,
         op10_html_extraction,
@@ -142,5 +148,29 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from doc_words left join hit_words using (doc_id) left join hit_items using (doc_id)"""
 
 
+_NGRAM_JOIN = f"""
+with recursive doc_words as (
+  select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) as words
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(words, i, i + 2), ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as i
+        from doc_words where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b using (shingle)
+  join sizes m on a.doc_id = m.doc_id join sizes n on b.doc_id = n.doc_id
+  where a.doc_id <> b.doc_id and 100 * least(m.n, n.n) >= 90 * greatest(m.n, n.n)
+  group by a.doc_id, b.doc_id, m.n, n.n
+  having 100 * count(*) >= 90 * (m.n + n.n - count(*))),
+reached as (
+  select doc_id as node, doc_id as root from documents
+  union
+  select links.b, reached.root from reached join links on links.a = reached.node)
+select node as doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(root) as component_id
+from reached left join sizes on sizes.doc_id = node group by node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _DECONTAMINATION}
+    return {"op4_decontamination": _DECONTAMINATION, "op6_ngram_join": _NGRAM_JOIN}
