@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, sharding, token_files
+from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, secrets, sharding, token_files
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -44,6 +44,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict."""
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    trees = secrets.train(secrets.rule_labels(docs), words)
+    return secrets.scan(docs, trees, words).select(
+        "doc_id", F.posexplode("findings").alias("ordinal", "f")
+    ).select(
+        "doc_id",
+        "ordinal",
+        F.sha2("f.value", 256).alias("value_sha256"),
+        F.length("f.value").cast("long").alias("n_chars"),
+        "f.score",
+        "f.is_secret",
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rule counts and the verdict of rules and isolation forest."""
     docs = table(spark, sf_dir, "documents")
@@ -106,6 +123,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_sharding,
+        op2_secret_scan,
         op3_quality_rules,
         op4_decontamination,
         op5_sentencepiece,
