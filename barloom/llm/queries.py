@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, secrets, sharding, token_files
+from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, secrets, sharding, token_files, tool_chat
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -108,6 +108,70 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", "lang_pred", "score")
 
 
+_TOOL_ROWS = [
+    ("search", "limit", "integer", True),
+    ("search", "query", "string", True),
+    ("translate", "lang", "string", True),
+    ("translate", "text", "string", True),
+    ("count", "unit", "string", True),
+    ("count", "words", "integer", False),
+]
+
+
+def tool_calls(turns: DataFrame) -> DataFrame:
+    """The assistant turns of ``conversations`` read as tool calls.
+
+    Tool, arguments and dependencies follow from the turn and its text: some arguments
+    lack a key, have one of another kind or one too many, and some calls depend on the
+    assistant's next turn, so that order by turn is not enough.
+    """
+    word, n = F.regexp_extract("text", "[A-Za-z]+", 0), F.length("text")
+    step = F.floor(F.col("turn") / 2) % 4
+    search = F.concat(
+        F.lit('{ "query" : "'), word, F.lit('", "limit": '),
+        F.when(n % 5 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string")), F.lit(" }"),
+    )
+    translate = F.concat(
+        F.lit('{"text":"'), word, F.when(n % 7 == 0, F.lit('"}')).otherwise(F.lit('", "lang":"en"}'))
+    )
+    count = F.concat(
+        F.lit('{"words": '), n, F.when(n % 11 == 0, F.lit(', "more": [1, 2.50]')).otherwise(F.lit("")),
+        F.lit(', "unit": "word"}'),
+    )
+
+    def at(turn: F.Column) -> F.Column:
+        return F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), turn)
+
+    after, before, first = at(F.col("turn") + 2), at(F.col("turn") - 2), at(F.col("turn") - 6)
+    kind = F.col("turn") % 3
+    return turns.where("role = 'assistant'").select(
+        "conv_id",
+        "turn",
+        at(F.col("turn")).alias("call_id"),
+        F.when(kind == 0, "search").when(kind == 1, "translate").otherwise("count").alias("name"),
+        F.when(kind == 0, search).when(kind == 1, translate).otherwise(count).alias("arguments"),
+        F.when(step == 0, F.array(after)).when(step == 2, F.array(before, after))
+        .when(step == 3, F.array(first)).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+
+
+def tool_results(turns: DataFrame) -> DataFrame:
+    """The user turns, each read as the result of a call in the turn before."""
+    return turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1).alias("call_id"),
+        F.col("text").alias("content"),
+    )
+
+
+def op8_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as tool exchanges: linked, ordered, checked, canonical JSON."""
+    turns = table(spark, sf_dir, "conversations")
+    schemas = spark.createDataFrame(_TOOL_ROWS, "name string, key string, kind string, required boolean")
+    return tool_chat.format_calls(tool_calls(turns), tool_results(turns), schemas)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     """All documents written as files of directly addressable codes and read back."""
     path = scratch_folder(spark, "tokens")
@@ -129,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_sentencepiece,
         op6_ngram_join,
         op7_language_id,
+        op8_tool_chat,
         op9_token_files,
         op10_html_extraction,
     ]
@@ -190,5 +255,57 @@ select node as doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(root
 from reached left join sizes on sizes.doc_id = node group by node"""
 
 
+_TOOL_CHAT = """
+with recursive turns as (
+  select conv_id, turn, role, text, length(text) as n, regexp_extract(text, '[A-Za-z]+') as word,
+         (turn // 2) % 4 as step
+  from conversations),
+calls as (
+  select conv_id, turn, 'call-' || conv_id || '-' || turn as call_id, n, word,
+         ['search', 'translate', 'count'][1 + turn % 3] as name,
+         case step when 0 then [turn + 2] when 2 then [turn - 2, turn + 2] when 3 then [turn - 6]
+              else [] end as needs
+  from turns where role = 'assistant'),
+results as (
+  select conv_id, turn - 1 as turn, min_by(text, turn) as result from turns where role = 'user' group by 1, 2),
+needed as (
+  select c.conv_id, c.turn, d.turn as needs
+  from (select conv_id, turn, unnest(needs) as need from calls) c
+  join calls d on c.conv_id = d.conv_id and c.need = d.turn),
+deep as (
+  select conv_id, turn, 0 as level from calls
+  union
+  select needed.conv_id, needed.turn, deep.level + 1
+  from deep join needed on deep.conv_id = needed.conv_id and deep.turn = needed.needs
+  where deep.level < 10),
+levels as (select conv_id, turn, max(level) as level from deep group by 1, 2),
+judged as (
+  select calls.*, level, result,
+         case name when 'search' then case when n % 5 = 0 then 'kind:limit' else '' end
+                   when 'translate' then case when n % 7 = 0 then 'missing:lang' else '' end
+                   else case when n % 11 = 0 then 'unknown:more' else '' end end as errors,
+         case name
+           when 'search' then
+             case when n % 5 = 0 then '{ "query" : "' || word || '", "limit": "' || n || '" }'
+                  else '{"limit":' || n || ',"query":"' || word || '"}' end
+           when 'translate' then
+             case when n % 7 = 0 then '{"text":"' || word || '"}'
+                  else '{"lang":"en","text":"' || word || '"}' end
+           else
+             case when n % 11 = 0 then '{"words": ' || n || ', "more": [1, 2.50], "unit": "word"}'
+                  else '{"unit":"word","words":' || n || '}' end end as arguments
+  from calls join levels using (conv_id, turn) left join results using (conv_id, turn))
+select conv_id,
+       row_number() over (partition by conv_id order by level, turn) - 1 as position,
+       turn, call_id, name, level::integer as level,
+       case when result is null then 'pending' else 'linked' end as status,
+       errors = '' as valid, errors,
+       '{"arguments":' || case when errors = '' then arguments else to_json(arguments)::varchar end
+       || ',"id":"' || call_id || '","name":"' || name || '"'
+       || case when result is null then '' else ',"result":' || to_json(result)::varchar end
+       || ',"type":"function"}' as json
+from judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _DECONTAMINATION, "op6_ngram_join": _NGRAM_JOIN}
+    return {"op4_decontamination": _DECONTAMINATION, "op6_ngram_join": _NGRAM_JOIN, "op8_tool_chat": _TOOL_CHAT}
