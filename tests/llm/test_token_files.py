@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from barloom.llm import queries, token_files
+from tests.llm.helpers import docs, empty
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = ["", " ", " a", "  a  b ", "a\n\nb c  d", "it's 12,345. don't!\n\n\nX.", "a\x00b\x01", "<|endoftext|> a", "é, É.  x", "a \n b", "\x1c a\x1fb\x85c"]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return token_files.Encoder(PATH)
+
+
+def _plain(model, text):
+    return model.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("the on\n .,'s1é\t"), st.characters(exclude_categories=["Cs"]))), max_size=5))
+def test_ids_equal_the_library(model, texts):
+    ids, lengths = model.batch(pa.array(texts + ODD, pa.string()))
+    rows = np.split(ids, np.cumsum(lengths)[:-1])
+    assert [r.tolist() for r in rows] == [_plain(model, t) for t in texts + ODD]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 255), st.integers(0, 2**32 - 1)), max_size=1500))
+def test_codes_give_back_every_id(ids):
+    codes = token_files.Codes(token_files.pack(np.array(ids, "<u4")))
+    assert codes.all().tolist() == ids
+    assert [codes.token(i) for i in range(len(ids))] == ids
+    assert len(codes) == len(ids)
+
+
+def test_query(spark, model):
+    found = queries.op9_token_files(spark, "/root/testdata/sf0.01").toPandas().sort_values("doc_id")
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id").text
+    ids = [_plain(model, t) for t in texts]
+    assert found.n_tokens.tolist() == [len(i) for i in ids]
+    assert found.start.tolist() == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    assert found.ids_crc32.tolist() == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+
+
+def test_many_segments_and_random_access(spark, model, tmp_path, monkeypatch):
+    texts = [None, "", *[f"text {i} " + "word " * i + "end." for i in range(60)], "same", "same"]
+    ids = [None, 900, *range(60), 70, 70]
+    table, path = docs(spark, texts, ids).repartition(3), str(tmp_path / "tokens")
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 100)
+    token_files.write(table, PATH, path)
+    rows = token_files.read(spark, path).orderBy("start").collect()
+    wanted = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0]))
+    assert [r.doc_id for r in rows] == [i for i, _ in wanted]
+    assert [r.ids for r in rows] == [_plain(model, t or "") for _, t in wanted]
+    every = [i for r in rows for i in r.ids]
+    places = spark.createDataFrame([(p,) for p in [0, 1, 57, len(every) - 1, len(every), None, -1]], "place long")
+    got = {r.place: r.id for r in token_files.tokens_at(spark, path, places).collect()}
+    assert got == {p: every[p] for p in (0, 1, 57, len(every) - 1)}
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_files.write(empty(spark), PATH, path)
+    assert token_files.read(spark, path).count() == 0
