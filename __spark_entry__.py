@@ -137,6 +137,70 @@ def raw_bar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.name_bars(bl.read_raw_bars(spark, path, timeframes=["4H", "5M"]))
 
 
+def latest_1500_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter after the ranking, which must still reach the scan."""
+    return _latest(spark, sf_dir, 1500).where("symbol = 'click'")
+
+
+def _overlapping_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landed pulls of every series: days 1 to 20, then days 15 to 30 with later values."""
+    built = bl.bars(_trades(spark, sf_dir), ["1D"])
+    day = F.dayofmonth("timestamp")
+    first = built.where(day <= 20).withColumn("close", F.col("close") / 2)
+    pulls = [_raw(part).withColumn("pulled_at", F.lit(at)) for part, at in ((first, 1_000), (built.where(day >= 15), 2_000))]
+    path = scratch_folder(spark, "pulls")
+    for pull in pulls:
+        pull.write.mode("append").json(path)
+    return bl.read_raw_bars(spark, path)
+
+
+def raw_overlapping_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bl.latest_from_raw(_overlapping_pulls(spark, sf_dir), limit=20)
+
+
+def overlapping_pull_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark, "documents")
+    bl.report_from_raw(_overlapping_pulls(spark, sf_dir), path, timeframes=["1D"], limit=20)
+    return _read_documents(spark, path)
+
+
+def rolled_up_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base bars of which some have no open, close or any value; null cells are skipped."""
+    base = bl.bars(_trades(spark, sf_dir), ["5M"]).drop("timeframe")
+    minute = F.minute("timestamp")
+    cells = {
+        name: F.when((minute % 15 != 0) & ~(minute.isin(gone)), F.col(name))
+        for name, gone in (("open", [5]), ("close", [55]), ("high", []), ("low", []), ("volume", []))
+    }
+    return bl.roll_up(base.withColumns(cells), ["1D", "1H"])
+
+
+def bars_with_null_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a price are no trades, and their size is not counted."""
+    events = _table(spark, sf_dir, "events")
+    price = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    size = F.get_json_object("props", "$.k")
+    return bl.bars(bl.as_trades(events, "event_type", "ts", price, size))
+
+
+def wide_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month and a minute: far more base bars in the longest interval than one task should hold."""
+    frames = [bl.Timeframe("30D", "30d", 2_592_000), "1D", bl.Timeframe("1M", "1m", 60)]
+    return bl.bars(_trades(spark, sf_dir), frames)
+
+
+def symbols_with_slashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that clean alike are stored, replaced and read back apart."""
+    built = _latest(spark, sf_dir)
+    path = scratch_folder(spark, "slashes")
+    for replaced in (built, built.where("timeframe = '1D'")):
+        names = ("cl/ick", "cli/ck") if replaced is built else ("cli/ck",)
+        parts = [replaced.where("symbol = 'click'").withColumn("symbol", F.lit(name)) for name in names]
+        rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        bl.write_bars(rows, path, replace="symbols")
+    return bl.read_bars(spark, path)
+
+
 def raw_latest_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.latest_from_raw(_raw(_latest(spark, sf_dir)), limit=100)
 
@@ -216,10 +280,10 @@ def raw_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read_documents(spark: SparkSession, path: str) -> DataFrame:
     # A document is one bounded file, so one row can hold it.
-    whole = spark.read.schema("value string, symbol string").text(path, wholetext=True)
+    whole = spark.read.schema("value string, document string").text(path, wholetext=True)
     lines = F.split("value", "\n")
     return whole.select(
-        "symbol", F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("line_no", "line")
+        "document", F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("line_no", "line")
     )
 
 
@@ -311,7 +375,11 @@ def bar_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mtf_latest_bars,
         mtf_bars,
         latest_1500_bars,
+        latest_1500_of_symbol,
         bars_rolled_up,
+        rolled_up_with_nulls,
+        bars_with_null_prices,
+        wide_timeframes,
         symbol_bars,
         daily_bars,
         daily_latest_bars,
@@ -322,6 +390,9 @@ def bar_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         raw_bars_named,
         raw_bar_scan,
         raw_latest_100,
+        raw_overlapping_pulls,
+        overlapping_pull_documents,
+        symbols_with_slashes,
         epoch_ms_to_timestamp,
         clean_symbol,
         clean_slashes,
@@ -396,7 +467,42 @@ def _select(condition: str = "newest <= 500", source: str = _BARS) -> str:
     return f"{source}\nselect {_COLUMNS} from ranked where {condition}"
 
 
-def _lines(source: str, labels: Sequence[str], footer: Sequence[str] = ()) -> str:
+_WIDE_TF = """tf(section_no, timeframe, code, secs) as (
+  values (0, '30D', '30d', 2592000::bigint), (1, '1D', '1d', 86400::bigint), (2, '1M', '1m', 60::bigint))"""
+
+#: Days 1 to 20 were pulled first, with half the close; days 15 to 30 later.
+_PULLED = _BARS.replace("ranked as (\n  select *", """pulled as (
+  select * replace (if(day("timestamp") < 15, close / 2, close) as close)
+  from bars where timeframe = '1D' and day("timestamp") <= 30),
+ranked as (
+  select *""").replace("  from bars)", "  from pulled)")
+
+#: A null cell is skipped, and so is a row without a price.
+_NULL_CELLS = f"""with {_TF},
+base as (
+  select event_type as symbol, make_timestamp((epoch_us(ts) // 300000000) * 300000000) as began,
+         arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close,
+         sum(cast(json_extract_string(props, '$.k') as double)) as volume
+  from events group by all),
+gaps as (
+  select symbol, began,
+         if(minute(began) % 15 <> 0 and minute(began) <> 5, open, null) as open,
+         if(minute(began) % 15 <> 0, high, null) as high, if(minute(began) % 15 <> 0, low, null) as low,
+         if(minute(began) % 15 <> 0 and minute(began) <> 55, close, null) as close,
+         if(minute(began) % 15 <> 0, volume, null) as volume
+  from base)
+select symbol, timeframe, make_timestamp((epoch_us(began) // (secs * 1000000)) * secs * 1000000) as "timestamp",
+       arg_min(open, began) as open, max(high) as high, min(low) as low, arg_max(close, began) as close,
+       sum(volume) as volume
+from gaps cross join tf where timeframe in ('1D', '1H') group by 1, 2, 3"""
+
+_SLASHES = f"""{_BARS}
+select s.name as symbol, timeframe, "timestamp", open, high, low, close, volume
+from ranked cross join (values ('cl/ick'), ('cli/ck')) s(name)
+where newest <= 500 and symbol = 'click' and (name = 'cl/ick' or timeframe = '1D')"""
+
+
+def _lines(source: str, labels: Sequence[str], footer: Sequence[str] = (), limit: int = 500) -> str:
     """The document lines of every symbol, as a ``lines`` table after ``source``."""
     header = ",".join(BAR_FIELDS)
     fixed = ["(-1, 0, '# SYMBOL: ' || symbol), (-1, 1, '# FORMAT: OHLCV')"]
@@ -407,7 +513,7 @@ def _lines(source: str, labels: Sequence[str], footer: Sequence[str] = ()) -> st
 kept as (
   select *, bool_and("timestamp" = date_trunc('day', "timestamp"))
             over (partition by symbol, timeframe) as dates_only
-  from ranked where newest <= 500),
+  from ranked where newest <= {limit}),
 lines as (
   select symbol, section_no, 2 as part, "timestamp",
          case when dates_only then strftime("timestamp", '%Y-%m-%d')
@@ -425,7 +531,7 @@ def bar_oracles() -> dict[str, str]:
     labels = [frame.label for frame in bl.TIMEFRAMES]
     rows = 'symbol, section_no, part, "timestamp", line'
     numbered = """
-select symbol, cast(row_number() over (
+select symbol || '_MTF_OHLCV.csv' as document, cast(row_number() over (
          partition by symbol order by section_no, part, "timestamp") - 1 as integer) as line_no,
        line
 from lines"""
@@ -434,7 +540,15 @@ from lines"""
         "mtf_latest_bars": latest,
         "mtf_bars": _select("true"),
         "latest_1500_bars": _select("newest <= 1500"),
+        "latest_1500_of_symbol": _select("newest <= 1500 and symbol = 'click'"),
         "bars_rolled_up": latest,
+        "rolled_up_with_nulls": _NULL_CELLS,
+        "bars_with_null_prices": _select("true", _BARS.replace("from events", "from events where event_id % 3 <> 0").replace(
+            "from events where event_id % 3 <> 0 cross join tf", "from (from events where event_id % 3 <> 0) cross join tf")),
+        "wide_timeframes": _select("true", _BARS.replace(_TF, _WIDE_TF)),
+        "raw_overlapping_pulls": _select("newest <= 20", _PULLED),
+        "overlapping_pull_documents": _lines(_PULLED, ["1D"], limit=20) + numbered,
+        "symbols_with_slashes": _SLASHES,
         "symbol_bars": _select("newest <= 500 and symbol = 'click'"),
         "daily_bars": _select("true", _DAILY),
         "daily_latest_bars": _select(source=_DAILY),

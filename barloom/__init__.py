@@ -12,7 +12,7 @@ from barloom.functions.timestamps import epoch_ms_to_timestamp, timestamp_to_epo
 from barloom.operators.bars import bars, roll_up
 from barloom.operators.concat import concat_timeframes, order_bars
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
-from barloom.operators.naming import name_bars
+from barloom.operators.naming import name_bars, newest_pulls
 from barloom.operators.select import select_symbols, select_timeframes
 from barloom.plans.report import (
     latest_from_raw,
@@ -41,6 +41,7 @@ __all__ = [
     "latest_from_raw",
     "latest_from_trades",
     "name_bars",
+    "newest_pulls",
     "number_text",
     "order_bars",
     "read_bars",

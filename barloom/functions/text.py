@@ -24,29 +24,53 @@ def number_text(number: Column) -> Column:
     million and below a thousandth; here plain digits run from 0.0001 up to
     1e16, and exponents outside that look like ``1e-05``. Null and NaN give null.
     """
-    text = number.cast("string")
-    digits = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    exponent = F.regexp_replace(text, r"(\.0)?E", "e")
-    exponent = F.regexp_replace(exponent, r"e(\d)", "e+$1")
-    exponent = F.regexp_replace(exponent, r"(e[+-])(\d)$", "$10$2")
+    return _restyled(number.cast("string"))
+
+
+def _restyled(text: Column) -> Column:
+    """Spark's text of a double in the other style, by moving its digits."""
     short = F.replace(F.nullif(text, F.lit("NaN")), F.lit("Infinity"), F.lit("inf"))
-    size = F.abs(number)
-    return (
-        F.when(~F.contains(text, F.lit("E")), short)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(exponent)
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    # The digits without the point, and without the zero of "1.0".
+    digits = F.concat(F.substring_index(mantissa, ".", 1), F.rtrim(F.substring_index(mantissa, ".", -1), F.lit("0")))
+    whole = F.rpad(digits, power + 1, F.lit("0"))
+    rest = F.substr(digits, power + 2)
+    large = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    rest = F.substr(digits, F.lit(2))
+    exponent = F.concat(
+        F.left(digits, F.lit(1)),
+        F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(power).cast("string"),
+    )
+    return F.when(~F.contains(text, F.lit("E")), short).otherwise(
+        F.concat(
+            sign,
+            F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(exponent),
+        )
     )
 
 
-def with_number_texts(df: DataFrame, *names: str) -> DataFrame:
-    """Replace double columns by their text.
+def number_texts(*names: str) -> Column:
+    """The texts of double columns, as an array.
 
     All go through one array expression: a copy of the text rules per column
-    would make a generated method too large for the JVM to compile.
+    would make a generated method too large for the JVM to compile. A row in which
+    no text has an exponent, NaN or infinity needs no more than the casts.
     """
+    texts = F.array(*[F.col(name).cast("string") for name in names])
+    odd = F.rlike(F.array_join(texts, ","), F.lit("[ENI]"))
+    return F.when(odd, F.transform(texts, _restyled)).otherwise(texts)
+
+
+def with_number_texts(df: DataFrame, *names: str) -> DataFrame:
+    """Replace double columns by their text."""
     return (
-        df.withColumn("texts", F.transform(F.array(*names), number_text))
+        df.withColumn("texts", number_texts(*names))
         .withColumns({name: F.get("texts", i) for i, name in enumerate(names)})
         .drop("texts")
     )
@@ -57,7 +81,8 @@ def stamp_text(ts: Column, *series: str) -> Column:
 
     A series whose stamps are all midnight prints dates only. Otherwise the
     series shows seconds, and as many digits after them as its finest stamp
-    needs (none, three or six). The series columns name the window to look at.
+    needs (none, three or six). The series columns name the window to look at:
+    all its rows meet in one task, so call this on limited tables only.
     """
     text = ts.cast("string")  # yyyy-MM-dd HH:mm:ss[.ffffff]
     whole_series = Window.partitionBy(*series)

@@ -19,6 +19,9 @@ from barloom.functions.timestamps import (
 from barloom.sources.schemas import MEASURES
 
 
+_MOST_BASE_BARS = 1_000  # of one symbol and longest interval brought together uncombined
+
+
 def bars(
     trades: DataFrame,
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
@@ -27,7 +30,8 @@ def bars(
     """Build one bar per symbol, timeframe and interval that saw a trade.
 
     ``trades`` has ``symbol, ts, price, size``; intervals are aligned to the UTC
-    epoch and gaps stay gaps. ``order_by`` says which trade in an interval is
+    epoch and gaps stay gaps. A row without a price or a time is no trade: it
+    forms no bar and its size is not counted. ``order_by`` says which trade in an interval is
     first and last. It must be unique within a symbol for a repeatable open and
     close: keep ``ts`` if it is, name a rising trade number if there is one (one
     plain column keeps the aggregate hash-based), or pass both,
@@ -59,7 +63,7 @@ def _base_bars(trades: DataFrame, seconds: int, order_by: str | Sequence[str]) -
         trades.where(F.col("price").isNotNull())
         .withColumn("start", bucket_start(F.col("ts"), seconds))
         .groupBy("symbol", "start")
-        .agg(*_measures("price", "price", "price", "price", "size", order))
+        .agg(*_measures("price", "price", "price", "price", "size", order, order))
         .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *MEASURES)
     )
 
@@ -72,7 +76,8 @@ def roll_up(
     """Build longer bars from bars of one shorter timeframe.
 
     Every target must be a whole multiple of the base. Volumes are added up;
-    open and close come from the earliest and latest base bar.
+    open and close come from the earliest and latest base bar that has one.
+    Null cells are skipped, so a bar is null only where all its base bars are.
     """
     frames = resolve(timeframes)
     (base,) = resolve([base])
@@ -84,8 +89,11 @@ def roll_up(
     # symbol and one longest interval together: a group of at most
     # longest / base rows, however many trades lie behind them. The shuffle
     # then moves each base bar once, and not once per timeframe.
+    # Sets that span more than that are combined in each task before the
+    # shuffle instead, so no task ever holds a whole longest interval.
     longest = max(frame.seconds for frame in frames)
     nested = all(longest % frame.seconds == 0 for frame in frames)
+    nested = nested and longest // base.seconds <= _MOST_BASE_BARS
     at = timestamp_to_epoch_us(F.col("timestamp"))
     rows = base_bars.select("symbol", *MEASURES, at.alias("at"))
     keys = ["symbol", "section", "start"]
@@ -101,7 +109,7 @@ def roll_up(
     return (
         rows.select("*", F.expr(f"inline(array({targets}))"))
         .groupBy(*keys)
-        .agg(*_measures("open", "high", "low", "close", "volume", "at"))
+        .agg(*_measures("open", "high", "low", "close", "volume", _AT_OPEN, _AT_CLOSE))
         .select(
             "symbol",
             F.get(labels, F.col("section")).alias("timeframe"),
@@ -111,14 +119,19 @@ def roll_up(
     )
 
 
+# A null order leaves a row out, and stays a long: the aggregate is still hash-based.
+_AT_OPEN = "if(open is null, null, at)"
+_AT_CLOSE = "if(close is null, null, at)"
+
+
 def _measures(
-    opens: str, highs: str, lows: str, closes: str, volumes: str, order: str
+    opens: str, highs: str, lows: str, closes: str, volumes: str, first: str, last: str
 ) -> list[Column]:
     return [
-        F.expr(f"min_by({opens}, {order}) as open"),
+        F.expr(f"min_by({opens}, {first}) as open"),
         F.expr(f"max({highs}) as high"),
         F.expr(f"min({lows}) as low"),
-        F.expr(f"max_by({closes}, {order}) as close"),
+        F.expr(f"max_by({closes}, {last}) as close"),
         F.expr(f"sum({volumes}) as volume"),
     ]
 

@@ -18,7 +18,9 @@ def latest_bars(bars: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     in every task before the shuffle. Beyond it that cut is off, so a long
     series is first ranked in salted parts: the newest ``limit`` of the whole
     are among the newest ``limit`` of the parts, hence the result is exact and
-    the last step sees at most ``salts * limit`` rows of a series.
+    the last step sees at most ``salts * limit`` rows of a series (so it grows
+    with ``limit``, not with the series). The salt follows from the row alone,
+    so filters on symbol or timeframe still pass below the ranking.
 
     Equal stamps are ranked by their values, so a re-run task picks the same rows.
     """
@@ -28,9 +30,7 @@ def latest_bars(bars: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     threshold = int(bars.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     kept = bars
     if limit > threshold:
-        # Values and task together: copies of one row spread over tasks, and a
-        # re-run task salts its rows as before.
-        salt = F.pmod(F.xxhash64("timestamp", *MEASURES, F.spark_partition_id()), F.lit(_SALTS))
+        salt = F.pmod(F.xxhash64("timestamp", *MEASURES), F.lit(_SALTS))
         part = Window.partitionBy("symbol", "timeframe", "salt").orderBy(*newest)
         kept = (
             kept.withColumn("salt", salt)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe
 from barloom.operators.bars import bars
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
-from barloom.operators.naming import name_bars
+from barloom.operators.naming import name_bars, newest_pulls
 from barloom.operators.select import select_symbols, select_timeframes
 from barloom.sinks.documents import write_documents
 
@@ -33,10 +33,14 @@ def latest_from_raw(
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
     limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Newest bars of every symbol and timeframe, from landed raw bars."""
+    """Newest bars of every symbol and timeframe, from landed raw bars.
+
+    Overlapping pulls count once: the later pull's bar stays.
+    """
     if symbols is not None:
         raw = select_symbols(raw, symbols)
-    return latest_bars(name_bars(select_timeframes(raw, timeframes)), limit)
+    named = name_bars(select_timeframes(raw, timeframes), keep_pulled=True)
+    return latest_bars(newest_pulls(named), limit)
 
 
 def report_from_trades(
@@ -66,5 +70,5 @@ def report_from_raw(
     """Write a document per symbol from landed raw bars, reading them once."""
     if symbols is not None:
         raw = select_symbols(raw, symbols)
-    named = name_bars(select_timeframes(raw, timeframes), keep_empty=True)
-    write_documents(named, path, timeframes, limit, symbols, footer_lines)
+    named = name_bars(select_timeframes(raw, timeframes), keep_empty=True, keep_pulled=True)
+    write_documents(newest_pulls(named), path, timeframes, limit, symbols, footer_lines)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.text import clean_symbol, number_text, stamp_text
+from barloom.functions.text import clean_symbol, document_name, number_texts, stamp_text
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, resolve, section_no
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
 from barloom.operators.select import select_timeframes
@@ -32,10 +32,20 @@ def document_lines(
     their label and header. So do symbols listed in ``symbols`` that have no bars
     at all, and rows that ``name_bars(keep_empty=True)`` left for empty pulls.
     """
+    return _lines(bars, timeframes, limit, symbols, footer_lines).drop("document", "other")
+
+
+def _lines(
+    bars: DataFrame,
+    timeframes: Sequence[str | Timeframe],
+    limit: int,
+    symbols: Sequence[str] | None,
+    footer_lines: Sequence[str],
+) -> DataFrame:
+    """The lines with their ``document`` and the first symbol there (``other``)."""
     frames = resolve(timeframes)
     kept = latest_bars(select_timeframes(bars, frames), limit)
-    # One array expression for the five measures keeps the generated code small.
-    numbers = F.transform(F.array(*MEASURES), number_text)
+    numbers = number_texts(*MEASURES)
     stamp = stamp_text(F.col("timestamp"), "symbol", "timeframe")
     has_bar = F.coalesce(*[F.col(name).cast("string") for name in BAR_FIELDS]).isNotNull()
     rows = kept.select(
@@ -49,14 +59,21 @@ def document_lines(
         asked = bars.sparkSession.range(1).select(listed.alias("symbol"))
         rows = rows.unionByName(asked, allowMissingColumns=True)
 
-    # The fixed lines ride on one row of each symbol, so the bars are computed
-    # once and the symbols need no second pass or join.
-    one_row = Window.partitionBy("symbol").orderBy("section_no", "timestamp")
+    # The fixed lines ride on the first row of each symbol, so the bars are
+    # computed once and the symbols need no second pass or join. Rows meet by
+    # document, so that symbols which share one are seen.
+    name = document_name(F.coalesce("symbol", F.lit("")))
+    one_document = Window.partitionBy("document").orderBy("symbol", "section_no", "timestamp")
+    before = F.lag(F.struct("symbol")).over(one_document)
     own = F.array(_line(F.col("section_no"), 2, F.col("line"), F.col("timestamp")))
     return (
-        rows.withColumn("first", F.row_number().over(one_row) == 1)
+        rows.withColumn("document", name)
+        .withColumn("first", before.isNull() | ~before["symbol"].eqNullSafe(F.col("symbol")))
+        .withColumn("other", F.first(F.struct("symbol")).over(one_document)["symbol"])
         .select(
             "symbol",
+            "document",
+            "other",
             F.inline_outer(
                 F.when(F.col("first"), F.concat(own, _fixed_lines(frames, footer_lines))).otherwise(own)
             ),
@@ -79,7 +96,7 @@ def _line(section: Column | int, part: int, text: Column | str, ts: Column | Non
 
 def _fixed_lines(frames: Sequence[Timeframe], footer_lines: Sequence[str]) -> Column:
     # The wording of the lines around the bars.
-    title = F.concat(F.lit("# SYMBOL: "), clean_symbol(F.col("symbol")))
+    title = F.concat(F.lit("# SYMBOL: "), clean_symbol(F.coalesce("symbol", F.lit(""))))
     lines = [_line(-1, 1, "# FORMAT: OHLCV")]
     for i, frame in enumerate(frames):
         lines.append(_line(i, 0, f"# TIMEFRAME: {frame.label}"))
@@ -97,20 +114,23 @@ def write_documents(
     symbols: Sequence[str] | None = None,
     footer_lines: Sequence[str] = (),
 ) -> None:
-    """Write each symbol's document to ``symbol=<cleaned symbol>/``, one text file.
+    """Write each symbol's document to ``document=<its name>/``, one text file.
 
     Documents of the symbols written are replaced, others stay. Spark publishes
-    the files when the job has succeeded, so a failure leaves the old ones.
+    the files when the job has succeeded, so a failure leaves the old ones. Two
+    symbols whose names clean to the same document fail the job; a null symbol
+    counts as an empty one.
     """
-    lines = document_lines(bars, timeframes, limit, symbols, footer_lines)
-    # Rows of a symbol are in one task already. Two symbols with the same cleaned
-    # form share a directory; the second key keeps their documents apart.
+    lines = _lines(bars, timeframes, limit, symbols, footer_lines)
+    shown = [F.coalesce(F.col(name), F.lit("null")) for name in ("other", "symbol")]
+    clash = F.raise_error(F.format_string("symbols %s and %s share the document %s", *shown, "document"))
+    value = F.when(F.col("other").eqNullSafe(F.col("symbol")), F.col("line")).otherwise(clash.cast("string"))
+    # Rows of a document are in one task already.
     (
-        lines.withColumn("name", clean_symbol(F.col("symbol")))
-        .sortWithinPartitions("name", "symbol", "section_no", "part", "timestamp")
-        .select(F.col("name").alias("symbol"), F.col("line").alias("value"))
+        lines.sortWithinPartitions("document", "section_no", "part", "timestamp")
+        .select("document", value.alias("value"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("symbol")
+        .partitionBy("document")
         .text(path)
     )

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.text import clean_symbol, with_number_texts
+from barloom.functions.text import with_number_texts
 from barloom.sources.schemas import BAR_COLUMNS, MEASURES
 
 
 def write_bars(
     bars: DataFrame, path: str, fmt: str = "parquet", replace: str = "table"
 ) -> None:
-    """Write named bars under ``symbol=<cleaned symbol>/``.
+    """Write named bars under ``symbol=<symbol>/``.
+
+    The directory holds the symbol as it is (Spark escapes what a path cannot
+    hold), so ``read_bars`` gives it back and symbols that clean alike stay apart.
 
     ``replace="table"`` replaces everything under ``path`` and splits it by
     symbol and timeframe. ``replace="symbols"`` replaces only the symbols being
@@ -28,8 +31,7 @@ def write_bars(
         raise ValueError(f"replace must be one of {sorted(layouts)}, not {replace!r}")
     layout = layouts[replace]
     rows = (
-        bars.withColumn("symbol", clean_symbol(F.col("symbol")))
-        .select(*BAR_COLUMNS)
+        bars.select(*BAR_COLUMNS)
         .hint("rebalance", *layout)
         .sortWithinPartitions("symbol", "timeframe", "timestamp")
     )

@@ -6,7 +6,8 @@ from __future__ import annotations
 BAR_FIELDS = ("timestamp", "open", "high", "low", "close", "volume")
 MEASURES = BAR_FIELDS[1:]
 
-RAW_BAR_SCHEMA = "symbol string, timeframe string, ohlcv array<array<double>>"
+# ``pulled_at`` (epoch milliseconds) is optional in the data: it is null where it is missing.
+RAW_BAR_SCHEMA = "symbol string, timeframe string, ohlcv array<array<double>>, pulled_at long"
 
 BAR_SCHEMA = "symbol string, timeframe string, timestamp timestamp_ntz, " + ", ".join(
     f"{name} double" for name in MEASURES

@@ -203,3 +203,23 @@ def test_gaps_stay_gaps(spark):
 def test_bad_timeframes_are_refused(spark, bad):
     with pytest.raises(ValueError):
         bars(golden_trades(spark), bad)
+
+
+def test_roll_up_skips_null_cells(spark):
+    rows = [
+        ("A", "2024-01-01 00:00", None, None, None, None, None),
+        ("A", "2024-01-01 00:05", 2.0, 3.0, 1.0, 2.5, 4.0),
+        ("A", "2024-01-01 00:10", None, 9.0, None, None, None),
+        ("B", "2024-01-01 00:00", None, None, None, None, None),
+    ]
+    schema = "symbol string, timestamp string, open double, high double, low double, close double, volume double"
+    base = spark.createDataFrame(rows, schema).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    rolled = {row.symbol: tuple(row)[3:] for row in roll_up(base, ["1H"]).collect()}
+    assert rolled == {"A": (2.0, 9.0, 1.0, 2.5, 4.0), "B": (None,) * 5}
+
+
+def test_wide_sets_give_the_same_bars(spark, monkeypatch):
+    trades = spark.createDataFrame(random_trades(5, 3_000, ["A", "B"], 3), TRADE_SCHEMA)
+    expected = collected(bars(trades))
+    monkeypatch.setattr("barloom.operators.bars._MOST_BASE_BARS", 10)
+    assert collected(bars(trades)) == expected

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import (
     TIMEFRAMES,
@@ -34,11 +35,12 @@ EMPTY_SECTION = "# TIMEFRAME: {}\n" + ",".join(BAR_FIELDS) + "\n\n"
 
 
 def documents(path) -> dict[str, str]:
-    """Directory name to text; exactly one file per symbol."""
+    """Document name without its ending to text; exactly one file per symbol."""
     found = {}
-    for folder in Path(path).glob("symbol=*"):
+    for folder in Path(path).glob("document=*_MTF_OHLCV.csv"):
         (file,) = folder.glob("*.txt")
-        found[folder.name.removeprefix("symbol=")] = file.read_text("utf-8")
+        name = folder.name.removeprefix("document=").removesuffix("_MTF_OHLCV.csv")
+        found[name] = file.read_text("utf-8")
     return found
 
 
@@ -125,7 +127,7 @@ def test_raw_bars_with_gaps_and_empty_series(spark, tmp_path):
 
 
 def test_empty_pull_without_a_symbol_list_keeps_its_document(spark, tmp_path):
-    raw = spark.createDataFrame([("X/Y", "1H", [])], RAW_BAR_SCHEMA)
+    raw = spark.createDataFrame([("X/Y", "1H", [], None)], RAW_BAR_SCHEMA)
     report_from_raw(raw, str(tmp_path), timeframes=["1H"])
     assert documents(tmp_path) == {
         "XY": "# SYMBOL: XY\n# FORMAT: OHLCV\n" + EMPTY_SECTION.format("1H")
@@ -168,13 +170,33 @@ def test_only_written_symbols_are_replaced(spark, tmp_path):
     assert after["CCCDDD"].count("\n") == 6 and "2024-01-01" not in after["CCCDDD"]
 
 
-def test_symbols_with_one_cleaned_form_do_not_mix(spark, tmp_path):
-    both = golden_trades(spark, "A/BC").union(golden_trades(spark, "AB/C"))
-    report_from_trades(both, str(tmp_path))
-    (folder,) = tmp_path.glob("symbol=*")
-    text = "".join(file.read_text() for file in sorted(folder.glob("*.txt")))
-    one = expected_document("ABC", bars(golden_trades(spark)).toPandas(), 500)
-    assert text == one * 2
+@pytest.mark.parametrize("one, other", [("A/BC", "AB/C"), ("/", None), ("/", "//")])
+def test_symbols_that_share_a_document_fail_the_job(spark, tmp_path, one, other):
+    frame = golden_trades(spark).withColumn("symbol", F.lit(one).cast("string"))
+    both = frame.union(frame.withColumn("symbol", F.lit(other).cast("string")))
+    with pytest.raises(Exception) as failed:
+        report_from_trades(both, str(tmp_path))
+    assert f"share the document {(one or '').replace('/', '')}_MTF_OHLCV.csv" in str(failed.value)
+    assert one in str(failed.value) and str(other or "null") in str(failed.value)
+    assert documents(tmp_path) == {}
+
+
+def test_null_symbol_has_a_whole_document(spark, tmp_path):
+    trades = golden_trades(spark).withColumn("symbol", F.lit(None).cast("string"))
+    report_from_trades(trades, str(tmp_path), timeframes=["1D"])
+    assert documents(tmp_path)[""].startswith("# SYMBOL: \n# FORMAT: OHLCV\n# TIMEFRAME: 1D\n")
+
+
+def test_overlapping_pulls_print_each_bar_once(spark, tmp_path):
+    day = 86_400_000
+    pulls = [
+        ("A/B", "1D", [[float(d * day), 1.0, 1.0, 1.0, 1.0, v] for d in days], at)
+        for days, v, at in ((range(0, 5), 3.0, 1), (range(2, 7), 9.0, 2))
+    ]
+    raw = spark.createDataFrame(pulls, RAW_BAR_SCHEMA)
+    report_from_raw(raw, str(tmp_path), timeframes=["1D"], limit=4)
+    rows = documents(tmp_path)["AB"].splitlines()[4:8]
+    assert rows == [f"1970-01-0{d},1.0,1.0,1.0,1.0,9.0" for d in (4, 5, 6, 7)]
 
 
 def test_lines_form_the_document(spark):

@@ -8,7 +8,19 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from barloom import as_trades, bars, document_lines, latest_bars, latest_from_trades, name_bars
+from barloom import (
+    Timeframe,
+    as_trades,
+    bars,
+    document_lines,
+    latest_bars,
+    latest_from_trades,
+    name_bars,
+    newest_pulls,
+    read_bars,
+    write_bars,
+)
+from barloom.sources.schemas import RAW_BAR_SCHEMA
 from tests.fixtures import TRADE_SCHEMA, plan_of
 
 SF = "/root/testdata/sf0.001"
@@ -52,8 +64,28 @@ def test_latest_is_cut_before_its_shuffle(trades):
 
 def test_symbol_filter_reaches_the_scan(trades):
     assert "EqualTo(event_type,click)" in plan_of(latest_from_trades(trades, ["click"]))
-    after = latest_from_trades(trades).where("symbol = 'click'")
-    assert "EqualTo(event_type,click)" in plan_of(after)
+    for limit in (500, 1_500):
+        after = latest_from_trades(trades, limit=limit).where("symbol = 'click'")
+        assert "EqualTo(event_type,click)" in plan_of(after)
+
+
+@pytest.mark.parametrize("limit", [500, 1_500])
+def test_symbol_filter_prunes_stored_bars(spark, tmp_path, trades, limit):
+    write_bars(bars(trades, ["1D"]), str(tmp_path))
+    kept = latest_bars(read_bars(spark, str(tmp_path)), limit).where("symbol = 'click'")
+    assert "PartitionFilters: [isnotnull(symbol" in plan_of(kept)
+
+
+def test_overlapping_pulls_are_reduced_by_hash_before_the_shuffle(spark):
+    raw = spark.createDataFrame([], RAW_BAR_SCHEMA)
+    plan = plan_of(newest_pulls(name_bars(raw, keep_pulled=True)))
+    assert "partial_max_by" in plan and "SortAggregate" not in plan and len(exchanges(plan)) == 1
+
+
+def test_wide_sets_combine_before_the_shuffle(trades):
+    frames = [Timeframe("30D", "30d", 2_592_000), Timeframe("1M", "1m", 60)]
+    plan = plan_of(bars(trades, frames))
+    assert plan.count("partial_min_by") == 2 and "REPARTITION_BY_COL" not in plan
 
 
 def test_unwanted_timeframes_are_never_formed(trades):
@@ -77,7 +109,7 @@ def test_two_order_columns_still_aggregate_before_the_shuffle(spark):
 
 
 def test_no_query_runs_python_or_crosses_tables(spark):
-    for name, query in driver.queries().items():
+    for name, query in driver.bar_queries().items():
         plan = plan_of(query(spark, SF))
         for word in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
             assert word not in plan, (name, word)
