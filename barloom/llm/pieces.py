@@ -29,13 +29,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
+from barloom.llm.batches import slices
+
 MARK = "▁"  # stands for a space in normalised text
 CACHED_CHUNKS = 400_000
 SLICE_BYTES = 1 << 20  # text of one batch that leaves a task
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame
         model = encoder(model_path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            for start, length in _slices(texts):
+            for start, length in slices(texts, SLICE_BYTES):
                 part = texts.slice(start, length)
                 rows = [model.encode((t.as_py() or "").encode()) for t in part]
                 columns = [batch.column(name).slice(start, length) for name in names]
@@ -258,18 +259,6 @@ def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with about ``SLICE_BYTES`` of text."""
-    start = size = 0
-    for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
-        size += length
-        if size >= SLICE_BYTES:
-            yield start, i + 1 - start
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts) - start
-
-
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32)))

@@ -17,6 +17,7 @@ no segments. Only the id and text columns are read, whatever else there is.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import zlib
@@ -24,14 +25,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from barloom.llm.batches import slices
+
 END_ID = 0
 SEGMENT_TOKENS = 1 << 19
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 300_000  # in each of two generations
+BATCH_BYTES = 8 << 20  # text encoded at once
 RANK_BLOCK = 512  # marks between entries of the rank directory
 
 SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<int>, codes binary"
@@ -40,43 +45,106 @@ SEGMENTS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array
 # --- ids ---------------------------------------------------------------------
 
 
+#: White space as the splitting pattern sees it, and more; in the syntax of Arrow's expressions.
+_SPACES = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ODD_SPACES = f"[{_SPACES}][{_SPACES}]|^[{_SPACES}]|[{_SPACES}]$|[^\\S \\n]|[\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUT, _END = "\x00", "\x01"
+_STOPS = (".", ",")
+_CUTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The characters in which byte-level vocabularies are written.
+
+    Bytes of visible Latin-1 characters stand for themselves, the others for characters
+    from U+0100 on, in order.
+    """
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in visible else next(others)) for b in range(256)}
+
+
 class Encoder:
-    """A byte-level tokenizer with a bounded cache of the chunks between spaces.
+    """A byte-level tokenizer that encodes each distinct chunk of a batch once.
 
     Its splitting pattern lets a space only start a token and keeps a single line feed
-    between other characters apart, so text may be cut before a single space and
-    around a single line feed. Texts with white space of other forms, or with a special
-    token's own string, go to the library whole.
+    between other characters apart, so a text may be cut before a single space and
+    around a single line feed. Chunks are told apart and counted by Arrow, and a
+    bounded cache of two generations keeps those of earlier batches. Texts with a special token's own
+    string, or with the characters that mark cuts, go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"^\s", r"\s\Z", r"[^\S \n]", *map(re.escape, special)]))
-        self.cache: dict[str, bytes] = {}
+        self.alone = "|".join([_CUT, _END, *map(re.escape, special)])
+        self.merge = self.tokenizer.model.tokenize
+        self.shown = _shown_bytes()
+        self.space = self.shown[0x20]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops = {stop: self._encode(stop) for stop in _STOPS}
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, as unsigned 32-bit integers."""
-        if self.whole.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        keys = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            keys += ["\n", first, *[" " + word for word in rest]]
-        return self._join(keys[1:])
-
-    def _join(self, keys: list[str]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[k] for k in keys]), "<u4")
-        except KeyError:
-            new = [k for k in dict.fromkeys(keys) if k not in cache]
-        if len(cache) + len(new) > CACHED_CHUNKS:
-            cache.clear()
-            new = list(dict.fromkeys(keys))
-        for key, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[key] = np.array(found.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([cache[k] for k in keys]), "<u4")
+        """The ids of one text and the end id, as unsigned 32-bit integers."""
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and how many each has."""
+        texts = texts.fill_null("")
+        alone = pc.match_substring_regex(texts, self.alone)
+        if not pc.any(alone).as_py():
+            return self._cached(texts)
+        ids, lengths = self._cached(pc.if_else(alone, "", texts))
+        rows = np.split(ids, np.cumsum(lengths)[:-1])
+        for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
+            found = self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+            rows[i] = np.array([*found, END_ID], "<u4")
+        return np.concatenate(rows), np.array([len(r) for r in rows])
+
+    def _cached(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.replace_substring(texts, " ", _CUT + " ")
+        cut = pc.replace_substring(cut, "\n", f"{_CUT}\n{_CUT}")
+        odd = pc.match_substring_regex(texts, _ODD_SPACES)
+        if pc.any(odd).as_py():
+            careful = [_CUT.join(_CUTS.split(t)) for t in texts.filter(odd).to_pylist()]
+            cut = pc.replace_with_mask(cut, odd, pa.array(careful, pa.string()))
+        chunks = pc.split_pattern(pc.binary_join_element_wise(cut, _END, _CUT), _CUT)
+        coded = chunks.flatten().dictionary_encode()
+        known = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        values, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        size = sizes[which]
+        ends = np.cumsum(size)
+        places = np.repeat(starts[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        upto = np.append(0, ends)[chunks.offsets.to_numpy()]
+        return values[places], np.diff(upto)
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks. A stop or comma after a letter is a token of its own."""
+        words = [c[:-1] if c[-1:] in _STOPS and c[-2:-1].isalpha() else c for c in chunks]
+        recent, older, stops = self.recent, self.older, self.stops
+        for word in set(words).difference(recent):
+            recent[word] = older.get(word) or self._encode(word)
+        found = [recent[w] if len(w) == len(c) else recent[w] + stops[c[-1]] for w, c in zip(words, chunks)]
+        if len(recent) > CACHED_CHUNKS:
+            self.recent, self.older = {}, recent
+        return found
+
+    def _encode(self, chunk: str) -> bytes:
+        """The ids of one chunk. Letters, or a space and letters, are one unit of the merges."""
+        if chunk.isalpha() or (chunk[:1] == " " and chunk[1:].isalpha()):
+            if chunk.isascii():
+                shown = self.space + chunk[1:] if chunk[0] == " " else chunk
+            else:
+                shown = chunk.encode().decode("latin-1").translate(self.shown)
+            ids = [token.id for token in self.merge(shown)]
+        elif chunk == _END:
+            ids = [END_ID]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array.array("I", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -170,15 +238,14 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        for seq, (doc_ids, tokens) in enumerate(_segments(model, batches)):
-            codes = pack(np.concatenate(tokens))
+        for seq, (doc_ids, tokens, lengths) in enumerate(_segments(model, batches)):
             row = {
                 "part": [part],
                 "seq": [seq],
-                "n_tokens": [sum(map(len, tokens))],
+                "n_tokens": [len(tokens)],
                 "doc_ids": [doc_ids],
-                "lengths": [[len(t) for t in tokens]],
-                "codes": [codes],
+                "lengths": [lengths.tolist()],
+                "codes": [pack(tokens)],
             }
             yield pa.RecordBatch.from_pydict(row, _ARROW_SEGMENTS)
 
@@ -195,20 +262,24 @@ _ARROW_SEGMENTS = pa.schema([
 ])
 
 
-def _segments(model: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Document ids and their tokens, cut after ``SEGMENT_TOKENS`` at the end of a document."""
-    doc_ids, tokens, size = [], [], 0
+def _segments(model: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Document ids, tokens and lengths, cut after ``SEGMENT_TOKENS`` at the end of a document."""
+    held: list[tuple[list, np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            ids = np.append(model.ids(text.as_py() or ""), np.uint32(END_ID))
-            doc_ids.append(doc_id.as_py())
-            tokens.append(ids)
-            size += len(ids)
-            if size >= SEGMENT_TOKENS:
-                yield doc_ids, tokens
-                doc_ids, tokens, size = [], [], 0
-    if doc_ids:
-        yield doc_ids, tokens
+        for start, length in slices(batch.column(1), BATCH_BYTES):
+            part = batch.slice(start, length)
+            ids, lengths = model.batch(part.column(1))
+            held.append((part.column(0).to_pylist(), ids, lengths))
+            if sum(len(h[1]) for h in held) >= SEGMENT_TOKENS:
+                yield _joined(held)
+                held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[list, np.ndarray, np.ndarray]]) -> tuple[list, np.ndarray, np.ndarray]:
+    doc_ids, ids, lengths = zip(*held)
+    return [d for some in doc_ids for d in some], np.concatenate(ids), np.concatenate(lengths)
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
