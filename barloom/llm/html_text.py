@@ -141,8 +141,8 @@ class Page:
                 closing = re.compile(f"</{name}", re.I).search(source, at)
                 at = closing.start() if closing else len(source)
         self._text(source[at:])
-        self._close(1)
         self._flush()
+        self._close(1)
 
     def _text(self, text: str) -> None:
         if text:

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import html
+import re
+
+from pyspark.sql import functions as F
+
+from barloom.llm import html_text, queries
+
+PAGES = "page_id long, url string, html string"
+
+
+def _article(source):
+    inner = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_query_equals_plain_reading_of_the_pages(spark):
+    rows = queries.op10_html_extraction(spark, "/root/testdata/sf0.01").toPandas().set_index("page_id")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas().set_index("page_id")
+    assert len(rows) == len(pages)
+    for page_id, source in pages.html.items():
+        assert rows.text[page_id] == _article(source)
+    assert (rows.n_chars == rows.text.map(len)).all()
+
+
+def _text(source):
+    return html_text.Page(source).main_text(frozenset())
+
+
+def test_page_parts_are_dropped():
+    page = """<!doctype html><head><title>T</title><style>p>a{}</style></head><body>
+      <header>top</header><div class="cookie-notice">ok?</div><nav><a>menu</a></nav>
+      <main><article><header><h1>Title &amp; more</h1></header><p>One <b>bold</b>
+      line<br>two &lt;x&gt; &#233;<script>if (a < b) "</p>"</script><p>Three<!-- no <p> -->four
+      <ul><li>a<li>b</ul><div class="ad">buy</div><aside>side</aside>
+      <form>mail <input></form><section id="comments"><p>nice</p></section></article></main>
+      <div role="contentinfo">c</div><footer>end</footer></body>"""
+    assert _text(page).split("\n\n") == ["Title & more", "One bold line two <x> é", "Threefour", "a", "b"]
+
+
+def test_broken_and_odd_html():
+    assert _text("") == ""
+    assert _text("plain text &amp; &am") == "plain text & &am"
+    assert _text('<p title="a>b">x</p><p title="open>y</p>') == "x\n\ny"
+    assert _text("<article><p>a</div></p></span>b") == "a\n\nb"
+    assert _text("<p>a<script>never closed <p>b") == "a"
+    assert _text("<table><tr><td>a<td>b<tr><td>c</table>d") == "a\n\nb\n\nc\n\nd"
+    assert _text("<P>A&nbsp;b\t\n c</P>") == "A b c"
+    long = "<p>" + "word " * 300_000 + "</p>"
+    assert len(_text(long)) == 300_000 * 5 - 1
+
+
+def _site(i, host="site.example.com"):
+    return f"""<body><div class=x><div><span>Home</span> <a>Shop {i % 2}</a></div>
+      <div class=story><p>Story number {i} about thing {i * 7}.</p><p>More on {i}.</p></div>
+      <div><p>All rights kept.</p></div></div></body>""", f"http://{host}/{i}"
+
+
+def test_style_tree_removes_what_repeats_on_a_host(spark):
+    rows = [(i, u, h) for i in range(30) for h, u in [_site(i)]]
+    rows += [(100 + i, u, h) for i in range(2) for h, u in [_site(i, "small.example.com")]]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(found[i] == f"Story number {i} about thing {i * 7}.\n\nMore on {i}." for i in range(30))
+    assert "All rights kept." in found[100]  # two pages say too little
+
+
+def test_importance(spark):
+    rows = [(i, u, h) for i in range(16) for h, u in [_site(i)]]
+    tree = html_text.style_tree(spark.createDataFrame(rows, PAGES)).collect()
+    by_path = {r.path: r for r in tree}
+    story = by_path[html_text._hash(">body>div.x>div.story>p")]
+    menu = by_path[html_text._hash(">body>div.x>div")]
+    assert story.pages == menu.pages == 16
+    assert story.importance > 0.85 > 0.4 > menu.importance
+
+
+def test_copies_of_one_article_are_kept(spark):
+    page = "<body><nav>menu</nav><article><p>Same text.</p></article></body>"
+    rows = [(i, "https://h.example.org/x", page) for i in range(20)]
+    assert {r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"Same text."}
+
+
+def test_nulls_empty_tables_and_the_joined_way(spark, monkeypatch):
+    rows = [(1, None, None), (None, "no host", "<p>x"), (2, "http://u:p@H.example:80/a", "")]
+    table = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("mine"))
+    assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(table).collect()} == {
+        (1, "", 0), (None, "x", 1), (2, "", 0),
+    }
+    hosts = table.select(html_text.host().alias("h")).collect()
+    assert [r.h for r in hosts] == ["", "", "h.example"]
+    assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+    monkeypatch.setattr(html_text, "MAX_BROADCAST_PATHS", -1)
+    rows = [(i, u, h) for i in range(12) for h, u in [_site(i)]]
+    joined = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
+    assert all(r.text.startswith("Story") for r in joined)
