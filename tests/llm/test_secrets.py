@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import queries, secrets
+from tests.llm.helpers import docs, empty
+
+KEY = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+WORDS = ["the", "and", "thing", "word", "number"]
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    rows = []
+    for i in range(60):
+        value = f"{i * 7919 % 65536:04x}{KEY[i % 20:]}{i:02d}ab"
+        rows.append((value, 'say token = "', '" the', "src", 1))
+        rows.append((value, "", "", "src", 1))
+        rows.append((f"thing{'word' * (3 + i % 3)}number", "and the ", " thing", "src", 0))
+        rows.append((f"{10**15 + i * 977}", "and the ", " thing", "src", 0))
+        rows.append((f"thing{'word' * (3 + i % 3)}number", 'token = "', '"', "src", 0))
+    labelled = spark.createDataFrame(rows, "value string, before string, after string, path string, label int")
+    return secrets.train(labelled, WORDS)
+
+
+def test_findings_have_their_surroundings(spark):
+    text = f"{KEY} then \"x\" = '{KEY}==' and {'a' * 15} {'b' * 16}."
+    (row,) = docs(spark, [text]).select(secrets.findings_of(F.col("text")).alias("f")).collect()
+    assert [f.value for f in row.f] == [KEY, f"{KEY}==", "b" * 16]
+    assert row.f[0].before == "" and row.f[1].before.endswith("\"x\" = '") and row.f[2].after == "."
+    parts = [row.f[0].before]
+    for f in row.f:
+        parts += [f.value, f.after]
+    assert "".join(parts) == text  # short gaps are whole
+
+
+def test_secrets_are_masked_and_words_are_not(spark, trees):
+    texts = [
+        f'the token = "{KEY}" and {KEY.upper()[::-1]} end',
+        "thingwordwordwordnumber 1234567890123456 the",
+        f'token = "thingwordwordwordwordnumber"',
+        None,
+        "",
+    ]
+    scanned = secrets.scan(docs(spark, texts).withColumn("findings", F.lit("mine")), trees, WORDS)
+    cleaned = {r.doc_id: r.text for r in secrets.redact(scanned).collect()}
+    assert cleaned[0] == 'the token = "<secret>" and <secret> end'
+    assert [cleaned[i] for i in range(1, 5)] == texts[1:]
+
+
+def test_trees_vote_as_the_trained_model(spark, trees):
+    def vote(tree, x):
+        while isinstance(tree, list):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    finding = F.struct(F.lit(KEY).alias("value"), F.lit("a").alias("before"), F.lit("b").alias("after"))
+    row = spark.range(1).select(secrets.features(finding, F.lit("p/q.py"), WORDS).alias("x")).select(
+        "x", secrets.score(F.col("x"), trees).alias("s")
+    ).first()
+    assert row.s == pytest.approx(sum(vote(t, row.x) for t in trees) / len(trees))
+
+
+def test_query_finds_every_assigned_token(spark):
+    found = queries.op2_secret_scan(spark, "/root/testdata/sf0.01").toPandas()
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    planted = {i: len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t)) for i, t in zip(texts.doc_id, texts.text)}
+    caught = found[found.is_secret & (found.n_chars == 40)].groupby("doc_id").size().to_dict()
+    assert caught == {i: n for i, n in planted.items() if n}
+
+
+def test_no_labels_no_secrets(spark):
+    none = spark.createDataFrame([], "value string, before string, after string, path string, label int")
+    trees = secrets.train(none, WORDS)
+    (row,) = secrets.scan(docs(spark, [f'token = "{KEY}"']), trees, []).collect()
+    assert [f.is_secret for f in row.findings] == [False]
+
+
+def test_empty_tables(spark, trees):
+    assert secrets.dictionary(empty(spark)) == []
+    assert secrets.scan(empty(spark), trees, WORDS).count() == 0
+    assert secrets.rule_labels(docs(spark, [None, ""])).count() == 0
+
+
+def test_nothing_runs_python(spark, trees):
+    plan = secrets.redact(secrets.scan(docs(spark, ["x"]), trees, WORDS))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
