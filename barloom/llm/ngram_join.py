@@ -7,10 +7,11 @@
     chooses its own ``k``: a longer prefix costs more rows, but candidates must share
     more before they are verified. The choice weighs both by the n-grams' counts.
     Two classes must share the smaller of their two ``k``.
-3.  N-grams in the prefixes of up to ``SMALL_BUCKET`` classes give pairs, which are
-    counted and kept if they share enough. The classes so connected form clusters. An
-    n-gram in more prefixes sends all its classes to one place, named after the first
-    of them, so that n-grams of the same group name the same place.
+3.  Only classes of similar size are brought together. N-grams in the prefixes of up
+    to ``SMALL_BUCKET`` such classes give pairs, which are counted and kept if they
+    share enough. The classes so connected form clusters. An n-gram in more prefixes
+    sends its classes to one place, named after the first of them, so that n-grams of
+    the same group name the same place.
 4.  Within each cluster and place the sets are compared exactly, in pairs of blocks of
     bounded bytes and rows, by matrix products. What leaves a pair of blocks is a
     spanning forest of its links, at most a row per class, never all pairs.
@@ -43,7 +44,7 @@ from barloom.scratch import stored
 
 MAX_FREQUENT = 1 << 20  # n-grams in the broadcast table of counts
 COUNTED_BLOCK = 2_000_000  # n-grams among which repeats are looked for
-SMALL_BUCKET = 32
+SMALL_BUCKET = 128
 MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1000
@@ -219,24 +220,37 @@ def _prefixes(
 
 
 def places(found: DataFrame, percent: int) -> DataFrame:
-    """Where each class is compared: ``place`` and ``cid``. Similar classes share a place."""
-    tokens = found.select(F.explode("prefix").alias("token"), "cid", "size", "k")
+    """Where each class is compared: ``place`` and ``cid``. Similar classes share a place.
+
+    Sizes of similar sets lie in the same band or in neighbouring ones, where a band
+    spans one factor of the similarity. A class stands in the bucket of each of its
+    n-grams for its own band and for the next one; two classes count as met in the
+    bucket of the larger's band.
+    """
+    band = F.floor(F.log(F.col("size")) / float(np.log(100 / percent)) + 1e-9).alias("band")
+    tokens = found.select(F.explode("prefix").alias("token"), "cid")
+    several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    sizes = found.select("cid", "size", "k", band)
+    met = tokens.join(several, "token").join(sizes, "cid")
+    rows = stored(met.select("token", "cid", "size", "k", "band", F.explode(F.array("band", F.col("band") + 1)).alias("at")), "met")
+    keys = ["token", "at"]
     buckets = (
-        tokens.groupBy("token")
-        .agg(F.count("*").alias("n"), F.min("cid").alias("first"))
-        .where("n > 1")
+        rows.groupBy(*keys)
+        .agg(F.count("*").alias("n"), F.min("cid").alias("first"), F.max("band").alias("most"))
+        .where("n > 1 and most = at")
+        .select(*keys, "n", "first")
     )
-    met = stored(tokens.join(buckets, "token"), "met")
-    large = met.where(F.col("n") > SMALL_BUCKET).select(
-        F.struct(F.lit(1).alias("kind"), F.col("first").alias("id")).alias("place"), "cid"
+    rows = stored(rows.join(buckets, keys), "buckets")
+    large = rows.where(F.col("n") > SMALL_BUCKET).select(
+        F.struct("at", F.col("first").alias("id")).alias("place"), "cid"
     )
     lists = (
-        met.where(F.col("n") <= SMALL_BUCKET)
-        .groupBy("token")
-        .agg(F.collect_list(F.struct("cid", "size", "k")).alias("xs"))  # at most SMALL_BUCKET
+        rows.where(F.col("n") <= SMALL_BUCKET)
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("cid", "size", "k", "band")).alias("xs"))  # at most SMALL_BUCKET
     )
     pair = F.flatten(F.transform("xs", lambda x: F.transform(
-        F.filter("xs", lambda y: (x.cid < y.cid)
+        F.filter("xs", lambda y: (x.cid < y.cid) & (F.greatest(x.band, y.band) == F.col("at"))
                  & (100 * F.least(x.size, y.size) >= percent * F.greatest(x.size, y.size))),
         lambda y: F.struct(x.cid.alias("a"), y.cid.alias("b"), F.least(x.k, y.k).alias("k")),
     )))
@@ -247,7 +261,7 @@ def places(found: DataFrame, percent: int) -> DataFrame:
         .where("n >= k")
     )
     clusters = components(shared).select(
-        F.struct(F.lit(0).alias("kind"), F.col("root").alias("id")).alias("place"), F.col("node").alias("cid")
+        F.struct(F.lit(-1).cast("long").alias("at"), F.col("root").alias("id")).alias("place"), F.col("node").alias("cid")
     )
     return large.union(clusters).distinct()
 
