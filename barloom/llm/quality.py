@@ -170,7 +170,8 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
     if gain[best] <= 0:
         return np.inf
     following = ranked[best + 1] if best + 1 < len(ranked) else ranked[best] - 1e-6
-    return float((ranked[best] + following) / 2)
+    # Close to the bad rows: documents unlike either kind are kept.
+    return float(ranked[best] - (ranked[best] - following) / 10)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, float] | None:
