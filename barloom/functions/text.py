@@ -24,17 +24,25 @@ def number_text(number: Column) -> Column:
     million and below a thousandth; here plain digits run from 0.0001 up to
     1e16, and exponents outside that look like ``1e-05``. Null and NaN give null.
     """
-    return _restyled(number.cast("string"))
+    return _restyled(_parts(number.cast("string")))
 
 
-def _restyled(text: Column) -> Column:
+def _parts(text: Column) -> Column:
+    """A double's text with its exponent, and its digits without point or trailing zeros."""
+    mantissa = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
+    digits = F.concat(
+        F.substring_index(mantissa, ".", 1),
+        F.rtrim(F.substring_index(mantissa, ".", -1), F.lit("0")),
+    )
+    power = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).try_cast("int"))
+    return F.struct(text.alias("text"), power.alias("power"), F.when(power.isNotNull(), digits).alias("digits"))
+
+
+def _restyled(parts: Column) -> Column:
     """Spark's text of a double in the other style, by moving its digits."""
+    text, power, digits = parts["text"], parts["power"], parts["digits"]
     short = F.replace(F.nullif(text, F.lit("NaN")), F.lit("Infinity"), F.lit("inf"))
     sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
-    power = F.substring_index(text, "E", -1).try_cast("int")
-    # The digits without the point, and without the zero of "1.0".
-    digits = F.concat(F.substring_index(mantissa, ".", 1), F.rtrim(F.substring_index(mantissa, ".", -1), F.lit("0")))
     whole = F.rpad(digits, power + 1, F.lit("0"))
     rest = F.substr(digits, power + 2)
     large = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
@@ -47,7 +55,7 @@ def _restyled(text: Column) -> Column:
         F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
         F.abs(power).cast("string"),
     )
-    return F.when(~F.contains(text, F.lit("E")), short).otherwise(
+    return F.when(power.isNull(), short).otherwise(
         F.concat(
             sign,
             F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(exponent),
@@ -64,7 +72,7 @@ def number_texts(*names: str) -> Column:
     """
     texts = F.array(*[F.col(name).cast("string") for name in names])
     odd = F.rlike(F.array_join(texts, ","), F.lit("[ENI]"))
-    return F.when(odd, F.transform(texts, _restyled)).otherwise(texts)
+    return F.when(odd, F.transform(F.transform(texts, _parts), _restyled)).otherwise(texts)
 
 
 def with_number_texts(df: DataFrame, *names: str) -> DataFrame:
