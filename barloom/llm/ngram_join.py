@@ -44,12 +44,12 @@ from barloom.scratch import stored
 
 MAX_FREQUENT = 1 << 20  # n-grams in the broadcast table of counts
 COUNTED_BLOCK = 2_000_000  # n-grams among which repeats are looked for
-SMALL_BUCKET = 128
+SMALL_BUCKET = 32
 MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1000
 MAX_BROADCAST_NEEDED = 400_000  # rows of ids and places
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 _U64 = np.uint64
 
