@@ -7,10 +7,16 @@ is near 1 for articles and falls for menus and adverts. Its presentation is judg
 the entropy of the child sequences seen there. Paths of low importance are removed
 from every page of the host.
 
-The tree needs several pages and says little where all pages are copies, so two
-things come first: elements that declare themselves as menus, adverts, forms and the
-like (by tag, role, class or id) are always removed, and what a page declares as its
-article (``article``, ``main``) is kept however often it repeats.
+The tree needs several pages and says little where all pages are copies. So pages of a
+host whose article (or else whole text) is equal count once, and what a page declares
+is a prior that the tree corrects:
+
+*   Elements that are page parts by tag, role or ``hidden`` are always removed.
+*   Elements with a class or id that has the name of a page part are removed.
+*   Inside an article (``article``, ``main``) a path must be of lower importance to be
+    removed, and none is where most of the article repeats (near copies of one text).
+*   What lies outside the articles is removed, unless the tree leaves more text there
+    than in them (cards that announce other pages).
 
 Counting is one pass over the pages that shuffles only hashes, combined per host and
 path in each task; a hot host is a few thousand counts. The second pass needs the low
@@ -39,6 +45,8 @@ from barloom.scratch import stored
 
 MIN_PAGES = 8  # pages of a host that must have a path before it can be called low
 MIN_IMPORTANCE = 0.6
+ARTICLE_IMPORTANCE = 0.3  # the same inside an article
+MIN_VARIED = 0.5  # below it, an article's texts repeat so much that the tree says nothing of it
 CONTENT_WEIGHT = 0.9
 MAX_BROADCAST_PATHS = 200_000
 
@@ -62,9 +70,12 @@ _DROPPED_NAMES = frozenset(
     "banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription paywall sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
     "masthead comment comments commentlist disqus replies respond share sharing social related "
-    "recommended widget toolbar pagination pager login signup skip".split()
+    "recommended widget toolbar pagination pager login signup skip "
+    "ad-slot ad-banner ad-container adsbygoogle cookie-notice cookie-banner cookie-consent main-nav "
+    "site-nav nav-menu side-bar site-footer page-footer comments-section comment-list share-buttons "
+    "social-links social-share related-posts related-articles newsletter-signup skip-link".split()
 )
-_OUTER_NAMES = frozenset("header topbar".split())  # page parts, unless inside the article
+_OUTER_NAMES = frozenset("header topbar site-header page-header".split())  # page parts, unless inside the article
 _CLOSES = {  # an opening tag closes these when they are open
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",),
@@ -80,13 +91,23 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
+@dataclass
+class Named:
+    """An element that bears the name of a page part."""
+
+    path: str
+    inside: bool  # of an article tag
+    holds: bool = False  # an article, so that it is no page part
+
+
 @dataclass
 class Element:
     tag: str
     path: str
     dropped: bool
-    declared: bool  # inside the article
+    root: str | None  # path of the outermost article or main it is in
     children: list[str]
+    named: tuple[Named, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -94,7 +115,12 @@ class Block:
     path: str
     text: str
     dropped: bool
-    declared: bool
+    root: str | None
+    named: tuple[Named, ...]
+
+    def paths(self) -> set[int]:
+        """Hashes of what the tree counts this block for."""
+        return {*_branches(self.path), *(_hash(n.path) for n in self.named), *([_hash(self.root)] if self.root is not None else [])}
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -104,13 +130,18 @@ def _names(attributes: dict[str, str]) -> list[str]:
 def _is_dropped(tag: str, attributes: dict[str, str], declared: bool) -> bool:
     if tag in _DROPPED_TAGS or (tag == "header" and not declared):
         return True
-    if tag in ("body", "html", "main") or not attributes:
+    if tag in ("body", "html", "main"):
         return False
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or "display:none" in style:
         return True
-    if attributes.get("role", "").lower() in _DROPPED_ROLES:
-        return True
+    return attributes.get("role", "").lower() in _DROPPED_ROLES
+
+
+def _is_named(tag: str, attributes: dict[str, str], declared: bool) -> bool:
+    """Whether a part of a class name or of the id is the name of a page part."""
+    if tag in ("body", "html", "main"):
+        return False
     return any(n in _DROPPED_NAMES or (n in _OUTER_NAMES and not declared) for n in _names(attributes))
 
 
@@ -120,7 +151,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.styles: list[tuple[str, str]] = []
-        self.open = [Element("", "", False, False, [])]
+        self.open = [Element("", "", False, None, [])]
         self._words: list[str] = []
         self._read(source)
 
@@ -153,7 +184,7 @@ class Page:
         self._words.clear()
         if text:
             top = self.open[-1]
-            self.blocks.append(Block(top.path, text, top.dropped, top.declared))
+            self.blocks.append(Block(top.path, text, top.dropped, top.root, top.named))
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in _BLOCK:
@@ -169,19 +200,28 @@ class Page:
         if tag in _VOID or rest.endswith("/") and tag not in _BLOCK | _RAW:
             return
         if tag not in _BLOCK and tag not in _DROPPED_TAGS and "=" not in rest:
-            self.open.append(Element(tag, parent.path, parent.dropped, parent.declared, []))
+            self.open.append(Element(tag, parent.path, parent.dropped, parent.root, [], parent.named))
             return
         attributes = {
             k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)
         } if rest else {}
-        declared = parent.declared or tag in ("article", "main") or attributes.get("role") in ("main", "article")
-        dropped = parent.dropped or _is_dropped(tag, attributes, parent.declared)
-        if dropped and not parent.dropped:
+        inside = parent.root is not None
+        dropped = parent.dropped or _is_dropped(tag, attributes, inside)
+        article = not dropped and (tag in ("article", "main") or attributes.get("role") in ("main", "article"))
+        # Articles inside an article are its comments and the like.
+        nested = any(e.tag == "article" for e in self.open)
+        is_named = not dropped and _is_named(tag, attributes, inside)
+        if dropped and not parent.dropped or is_named:
             self._flush()
         label = ".".join([tag, *_names(attributes)])
         parent.children.append(label)
-        path = f"{parent.path}>{label}" if tag in _BLOCK or dropped else parent.path
-        self.open.append(Element(tag, path, dropped, declared and not dropped, []))
+        path = f"{parent.path}>{label}" if tag in _BLOCK or dropped or is_named else parent.path
+        if article:
+            for outer in parent.named:
+                outer.holds = False
+        named = (*parent.named, Named(path, nested)) if is_named else parent.named
+        root = None if dropped else path if article and not inside else parent.root
+        self.open.append(Element(tag, path, dropped, root, [], named))
 
     def _close_open(self, tags: tuple[str, ...], until: frozenset[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -198,31 +238,58 @@ class Page:
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                if tag in _BLOCK or any(e.tag in _BLOCK for e in self.open[i:]) or self.open[i].dropped:
+                if tag in _BLOCK or any(e.tag in _BLOCK for e in self.open[i:]) or self.open[i].dropped or self.open[i].named:
                     self._flush()
                 self._close(i)
                 return
 
     def _close(self, i: int) -> None:
         for element in self.open[i:]:
-            if element.tag in _BLOCK:
+            if element.tag in _BLOCK and not element.dropped:
                 self.styles.append((element.path, ",".join(element.children)))
         del self.open[i:]
 
-    def main_text(self, low: frozenset[int]) -> str:
-        """The blocks that are left: the declared article, or all but low paths."""
+    def key(self) -> int:
+        """Equal for pages with an equal article, or without one an equal text."""
         left = [b for b in self.blocks if not b.dropped]
-        if any(b.declared for b in left):
-            left = [b for b in left if b.declared]
-        elif low:
-            left = [b for b in left if low.isdisjoint(_branches(b.path))]
-        return "\n\n".join(b.text for b in left)
-
-
-def _branches(path: str) -> list[int]:
-    """Hashes of a path and of the paths above it, from the second step on."""
+        article = [b for b in left if b.root is not None]
+        return _hash("\n".join(b.text for b in article or left))
+
+    def main_text(
+        self,
+        low: frozenset[int],
+        lower: frozenset[int] = frozenset(),
+        copied: frozenset[int] = frozenset(),
+        important: frozenset[int] = frozenset(),
+    ) -> str:
+        """The blocks that are left: of the articles, or also of what is around them.
+
+        ``low`` paths are removed outside articles, ``lower`` ones inside, unless the
+        article is ``copied``; elements named as page parts stay if they are ``important``.
+        """
+        articles, around, parts = [], [], []
+        for i, b in enumerate(self.blocks):
+            refuted = [n for n in b.named if not n.holds]
+            if b.dropped or any(_hash(n.path) not in important for n in refuted):
+                continue
+            if b.root is None:
+                if low.isdisjoint(_branches(b.path)):
+                    (parts if refuted else around).append(i)
+            elif not lower or _hash(b.root) in copied or lower.isdisjoint(_branches(b.path, b.root)):
+                articles.append(i)
+        size = [sum(len(self.blocks[i].text) for i in part) for part in (articles, around)]
+        if not articles:
+            left = sorted(around + parts)
+        else:
+            left = articles if size[0] >= size[1] else sorted(articles + around)
+        return "\n\n".join(self.blocks[i].text for i in left)
+
+
+def _branches(path: str, root: str | None = None) -> list[int]:
+    """Hashes of a path and of the paths above it, from the second step on or below ``root``."""
     steps = path.split(">")
-    return [_hash(">".join(steps[:i])) for i in range(min(4, len(steps)), len(steps) + 1)]
+    first = min(4, len(steps)) if root is None else root.count(">") + 2
+    return [_hash(">".join(steps[:i])) for i in range(first, len(steps) + 1)]
 
 
 def _hash(text: str) -> int:
@@ -235,40 +302,55 @@ def host(url: str | Column = "url") -> Column:
     return F.coalesce(F.lower(found), F.lit(""))
 
 
-# What a counted row is: a page that has the path, a text there, a child sequence there.
-_PAGE, _TEXT, _STYLE = 0, 1, 2
+# What a counted row is: a page that has the path, a text there, a child sequence there,
+# a page where the path is an article, a page where it bears the name of a page part.
+_PAGE, _TEXT, _STYLE, _ARTICLE, _NAMED = range(5)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, the number of ``pages`` with it, and its ``importance``."""
+    """``host``, ``path``, the number of ``pages`` with it, and its ``importance``.
+
+    ``varied`` is what the importance would be if each text counted as often as it is
+    there; ``article`` and ``named`` say whether the path is an article or bears a name
+    of a page part. Pages of a host with equal keys count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, counted = [], []
             for name, source in zip(batch.column(0), batch.column(1)):
                 page, found = Page(source.as_py() or ""), set()
+                key = page.key()
                 for block in page.blocks:
+                    if block.dropped:
+                        continue
                     text = _hash(block.text)
-                    for path in _branches(block.path):
-                        found |= {(path, _PAGE, 0), (path, _TEXT, text)}
+                    for path in block.paths():
+                        found |= {(path, _PAGE, 0, key), (path, _TEXT, text, key)}
+                    if block.root is not None:
+                        found.add((_hash(block.root), _ARTICLE, 0, key))
+                    found |= {(_hash(n.path), _NAMED, 0, key) for n in block.named}
                 for path, children in page.styles:
-                    found.add((_hash(path), _STYLE, _hash(children)))
+                    found.add((_hash(path), _STYLE, _hash(children), key))
                 hosts += [name.as_py()] * len(found)
                 counted += found
-            rows = np.array(counted, np.int64).reshape(len(counted), 3)
+            rows = np.array(counted, np.int64).reshape(len(counted), 4)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])],
-                ["host", "path", "kind", "feature"],
+                [pa.array(hosts, pa.string()), *(pa.array(rows[:, i]) for i in range(4))],
+                ["host", "path", "kind", "feature", "key"],
             )
 
     rows = pages.select(host().alias("host"), "html").mapInArrow(
-        run, "host string, path long, kind long, feature long"
+        run, "host string, path long, kind long, feature long, key long"
     )
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    counts = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     n, kind = F.col("n"), F.col("kind")
     sums = counts.groupBy("host", "path").agg(
         F.max(F.when(kind == _PAGE, n)).alias("pages"),
         F.avg(F.when(kind == _TEXT, F.log(n))).alias("text_entropy"),
+        (F.sum(F.when(kind == _TEXT, n * F.log(n))) / F.sum(F.when(kind == _TEXT, n))).alias("weighed"),
+        F.max(kind == _ARTICLE).alias("article"),
+        F.max(kind == _NAMED).alias("named"),
         F.sum(F.when(kind == _STYLE, n)).alias("styled"),
         F.sum(F.when(kind == _STYLE, n * F.log(n))).alias("style_sum"),
     )
@@ -278,26 +360,37 @@ def style_tree(pages: DataFrame) -> DataFrame:
     importance = F.when(
         F.col("pages") > 1, CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.least(shape, F.lit(1.0))
     ).otherwise(1.0)
-    return sums.where("pages is not null").select("host", "path", "pages", importance.alias("importance"))
+    varied = F.when(F.col("pages") > 1, 1 - F.col("weighed") / base).otherwise(1.0)
+    return sums.where("pages is not null").select(
+        "host", "path", "pages", importance.alias("importance"), varied.alias("varied"), "article", "named"
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with the main ``text`` of their ``html`` and its length ``n_chars``."""
+    importance = F.col("importance")
+    verdicts = {
+        "low": importance < MIN_IMPORTANCE,
+        "lower": importance < ARTICLE_IMPORTANCE,
+        "copied": F.col("article") & (F.col("varied") < MIN_VARIED),
+        "important": F.lit(False),
+    }
+    names = tuple(verdicts)
+    said = F.struct(*[F.collect_list(F.when(v, F.col("path"))).alias(k) for k, v in verdicts.items()])
+    some = verdicts["low"] | verdicts["copied"] | verdicts["important"]
     low = stored(
-        style_tree(pages)
-        .where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
-        .groupBy("host")
-        .agg(F.collect_list("path").alias("_low")),
+        style_tree(pages).where((F.col("pages") >= MIN_PAGES) & some).groupBy("host").agg(said.alias("_low")),
         "style-tree",
     )
-    paths = low.agg(F.sum(F.size("_low"))).first()[0] or 0
+    paths = low.agg(F.sum(sum((F.size(f"_low.{k}") for k in verdicts), F.lit(0)))).first()[0] or 0
     rest = [c for c in pages.columns if c not in ("text", "n_chars", "_low", "_host")]
 
     @F.arrow_udf("string")
     def main_text(sources: pa.Array, low_paths: pa.Array) -> pa.Array:
         texts = []
         for source, paths in zip(sources, low_paths):
-            texts.append(Page(source.as_py() or "").main_text(frozenset(paths.as_py() or ())))
+            said = paths.as_py() or dict.fromkeys(names, ())
+            texts.append(Page(source.as_py() or "").main_text(*(frozenset(said[k]) for k in names)))
         return pa.array(texts, pa.string())
 
     side = low.withColumnRenamed("host", "_host")

@@ -96,3 +96,30 @@ def test_nulls_empty_tables_and_the_joined_way(spark, monkeypatch):
     rows = [(i, u, h) for i in range(12) for h, u in [_site(i)]]
     joined = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
     assert all(r.text.startswith("Story") for r in joined)
+
+
+def _extract(spark, sources):
+    rows = [(i, f"http://h.example/{i}", source) for i, source in enumerate(sources)]
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def _words(i, n):
+    return " ".join(f"w{i * 31 + k * 7}" for k in range(n))
+
+
+def test_style_tree_decides_inside_articles(spark):
+    story = '<article><h1>T{0}</h1><p>{1}</p><p>{0} more</p><div class="outro"><p>Read us daily.</p></div></article>'
+    found = _extract(spark, [story.format(i, _words(i, 20)) for i in range(20)])
+    assert all(found[i] == f"T{i}\n\n{_words(i, 20)}\n\n{i} more" for i in range(20))
+    # Copies of one article in other surroundings, and near copies of it, keep it.
+    copies = _extract(spark, [f"<nav>{i}</nav><span>{i}</span>" + story.format(1, _words(1, 20)) for i in range(20)])
+    assert all(t.startswith(f"T1\n\n{_words(1, 20)}") for t in copies.values())
+    near = _extract(spark, [story.format(i, _words(1, 20)) for i in range(20)])
+    assert all(_words(1, 20) in near[i] for i in range(20))
+
+
+def test_text_around_article_cards_is_kept(spark):
+    page = "<body><article>Card {0}</article><div class=text><p>{1}</p></div></body>"
+    found = _extract(spark, [page.format(i, _words(i, 50)) for i in range(12)])
+    assert all(_words(i, 50) in found[i] for i in range(12))
+    assert _words(3, 50) in _text(page.format(3, _words(3, 50)))
