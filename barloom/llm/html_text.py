@@ -12,7 +12,8 @@ host whose article (or else whole text) is equal count once, and what a page dec
 is a prior that the tree corrects:
 
 *   Elements that are page parts by tag, role or ``hidden`` are always removed.
-*   Elements with a class or id that has the name of a page part are removed.
+*   Elements with a class or id that is, as a whole, the name of a page part are removed
+    unless the tree finds their texts important, or they hold an article.
 *   Inside an article (``article``, ``main``) a path must be of lower importance to be
     removed, and none is where most of the article repeats (near copies of one text).
 *   What lies outside the articles is removed, unless the tree leaves more text there
@@ -139,10 +140,11 @@ def _is_dropped(tag: str, attributes: dict[str, str], declared: bool) -> bool:
 
 
 def _is_named(tag: str, attributes: dict[str, str], declared: bool) -> bool:
-    """Whether a part of a class name or of the id is the name of a page part."""
-    if tag in ("body", "html", "main"):
+    """Whether a whole class name or the id is that of a page part."""
+    if tag in ("body", "html"):
         return False
-    return any(n in _DROPPED_NAMES or (n in _OUTER_NAMES and not declared) for n in _names(attributes))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return any(n in _DROPPED_NAMES or (n in _OUTER_NAMES and not declared) for n in names)
 
 
 class Page:
@@ -210,7 +212,7 @@ class Page:
         article = not dropped and (tag in ("article", "main") or attributes.get("role") in ("main", "article"))
         # Articles inside an article are its comments and the like.
         nested = any(e.tag == "article" for e in self.open)
-        is_named = not dropped and _is_named(tag, attributes, inside)
+        is_named = not dropped and (nested or not article) and _is_named(tag, attributes, inside)
         if dropped and not parent.dropped or is_named:
             self._flush()
         label = ".".join([tag, *_names(attributes)])
@@ -218,7 +220,7 @@ class Page:
         path = f"{parent.path}>{label}" if tag in _BLOCK or dropped or is_named else parent.path
         if article:
             for outer in parent.named:
-                outer.holds = False
+                outer.holds = outer.holds or not outer.inside
         named = (*parent.named, Named(path, nested)) if is_named else parent.named
         root = None if dropped else path if article and not inside else parent.root
         self.open.append(Element(tag, path, dropped, root, [], named))
@@ -373,7 +375,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "low": importance < MIN_IMPORTANCE,
         "lower": importance < ARTICLE_IMPORTANCE,
         "copied": F.col("article") & (F.col("varied") < MIN_VARIED),
-        "important": F.lit(False),
+        "important": F.col("named") & (importance >= MIN_IMPORTANCE),
     }
     names = tuple(verdicts)
     said = F.struct(*[F.collect_list(F.when(v, F.col("path"))).alias(k) for k, v in verdicts.items()])

@@ -123,3 +123,18 @@ def test_text_around_article_cards_is_kept(spark):
     found = _extract(spark, [page.format(i, _words(i, 50)) for i in range(12)])
     assert all(_words(i, 50) in found[i] for i in range(12))
     assert _words(3, 50) in _text(page.format(3, _words(3, 50)))
+
+
+def test_names_drop_only_as_a_whole_and_never_an_article(spark):
+    assert _text('<article class="post has-comments"><p>a</p></article>') == "a"
+    assert _text('<div class="content no-sidebar"><article><p>a</p></article></div>') == "a"
+    assert _text('<article class="comments"><p>a</p></article>') == "a"
+    assert _text('<div class="sidebar"><main><p>a</p></main></div>') == "a"
+    assert _text('<main><div class="widget"><article><p>a</p></article></div></main>') == "a"
+    assert _text('<article><p>a</p><section id="related-work"><p>b</p></section></article>') == "a\n\nb"
+    assert _text('<article><p>a</p><section id="related"><article>b</article></section></article>') == "a"
+    page = '<article><p>{}</p><div class="notice"><p>{}</p></div></article>'
+    found = _extract(spark, [page.format(_words(i, 9), f"Case {i}") for i in range(12)])
+    assert all(found[i].endswith(f"Case {i}") for i in range(12))  # the tree does not confirm the drop
+    found = _extract(spark, [page.format(_words(i, 9), "Case") for i in range(12)])
+    assert all(found[i] == _words(i, 9) for i in range(12))
