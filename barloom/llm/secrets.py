@@ -11,8 +11,8 @@ trained trees become nested conditions, so scanning and redacting is one pass wi
 shuffle, join or Python. At most ``TRAIN_ROWS`` labelled findings train the forest.
 
 Nulls and the like: a null or empty text has no candidates and stays as it is; a null
-path counts as empty. Labelled findings without a label teach nothing, and without
-both kinds of label nothing is a secret. Repeated rows and ties are judged alike.
+path counts as empty. Labelled findings without a label teach nothing; with one kind of
+label only, a fixed rule judges (``RULE``), and with none nothing is a secret. Repeated rows and ties are judged alike.
 Added columns replace columns of the same name.
 """
 
@@ -23,6 +23,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.scratch import stored
+
 DICTIONARY_WORDS = 300
 TRAIN_ROWS = 40_000
 N_TREES = 20
@@ -30,8 +32,6 @@ MAX_DEPTH = 6
 CONTEXT_CHARS = 64
 MASK = "<secret>"
 
-_RUN = "A-Za-z0-9+/_\\-"
-CANDIDATE = rf"(?<![{_RUN}])[{_RUN}]{{16,}}+={{0,2}}"
 FINDING = "struct<value:string,before:string,after:string>"
 
 #: Fixed words of credentials, of placeholders, and of paths.
@@ -40,6 +40,21 @@ PLACEHOLDER = r"(?i)example|sample|dummy|fake|placeholder|changeme|your|xxxx|tes
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|specs?|mocks?|examples?|docs?|fixtures?|samples?)([/_.\-]|$)"
 CODE_PATH = r"(?i)\.(py|js|ts|java|go|rb|php|c|cc|cpp|cs|rs|sh|ya?ml|json|toml|ini|cfg|conf|env|properties|xml)$"
 
+#: What ends right before a value that is assigned to a credential's name. Lookbehinds
+#: must be bounded, so names have up to 20 further characters.
+ASSIGNED = rf"(?:{CREDENTIAL.replace('(?i)', '(?i:')}))[\w .\-\"']{{0,20}}[=:]{{1,2}}>?\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s)?"
+USER_INFO = r"://[^\s:@/?#]{0,100}:?"
+
+_RUN = "A-Za-z0-9+/_\\-"
+CANDIDATE = rf"(?<![{_RUN}])[{_RUN}]{{16,}}+={{0,2}}"
+
+#: Mixed values that identify rather than authorise, and tokens known by their form.
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+HASH = "^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128})$"
+DATED = r"(^|[-_/])(19|20)[0-9]{2}[-_/]?(0[1-9]|1[0-2])([-_/]?[0-3][0-9])?([-_/]|$)"
+PLAIN_PATH = "^/?([a-z][a-z0-9_-]*/){2,}[A-Za-z0-9_-]*$"
+KNOWN_TOKEN = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})$"
+
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
     """The words of 3 to 12 letters that most documents have."""
@@ -54,13 +69,18 @@ def _dictionary_pattern(words: list[str]) -> str:
 
 
 def findings_of(text: Column) -> Column:
-    """The candidates of a text in order, each with the text right before and after it."""
+    """The candidates of a text in order, each with the text right before and after it.
+
+    What is before goes back over the candidate before, which may be the name of this one.
+    """
     pattern = F.lit(CANDIDATE)
     values = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, CANDIDATE, -1)
     found = F.transform(values, lambda value, i: F.struct(
         value.alias("value"),
-        F.right(F.element_at(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("before"),
+        F.right(
+            F.concat(F.when(i > 0, F.get(values, i - 1)).otherwise(""), F.element_at(gaps, i + 1)), F.lit(CONTEXT_CHARS)
+        ).alias("before"),
         F.left(F.element_at(gaps, i + 2), F.lit(CONTEXT_CHARS)).alias("after"),
     ))
     return F.coalesce(found, F.array().cast(f"array<{FINDING}>"))
@@ -90,6 +110,7 @@ def features(finding: Column, path: Column, words: list[str]) -> Column:
         _count(value, "(?i)[b-df-hj-np-tv-z]{4}"),
         F.size(F.array_distinct(F.split(value, ""))),
         length - F.length(F.regexp_replace(F.lower(value), F.lit(known), F.lit(""))),
+        _count(value, "[^A-Za-z0-9+/_=-]"),
     ]
     flags = [
         _has(value, "^[0-9a-fA-F]+$"),
@@ -100,6 +121,9 @@ def features(finding: Column, path: Column, words: list[str]) -> Column:
         _has(F.concat(before, value, after), PLACEHOLDER),
         _has(path, TEST_PATH),
         _has(path, CODE_PATH),
+        _has(before, f"{ASSIGNED}$"),
+        _has(before, f"{USER_INFO}$") * _has(after, "^@"),
+        _has(value, UUID),
     ]
     covered = 1 - F.length(F.regexp_replace(near, F.lit(known), F.lit(""))) / F.greatest(F.length(near), F.lit(1))
     return F.array(
@@ -111,16 +135,23 @@ def features(finding: Column, path: Column, words: list[str]) -> Column:
     )
 
 
+#: The rule for findings without both kinds of label, as a tree over the features: what is
+#: assigned to a credential's name, has digits and is no placeholder; or is URL user info.
+RULE = [19, 0.5, [20, 0.5, 0.0, 1.0], [1, 0.0, 0.0, [16, 0.5, 1.0, 0.0]]]
+
+
 def train(labelled: DataFrame, words: list[str], train_rows: int = TRAIN_ROWS) -> list:
     """The trees of a forest fitted on labelled findings, as nested lists.
 
     ``labelled`` has ``value``, ``before``, ``after``, ``path`` and ``label`` (1 for a
-    secret). Of more rows, those first by a hash are taken, half of them of each label.
+    secret). Of more rows, those first by a hash are taken, half of them of each label;
+    both labels weigh the same.
     A tree is a vote (0 or 1), or a list of feature, threshold, and the trees for values
     up to it and above it.
     """
     finding = F.struct("value", "before", "after")
     kept = labelled.where("label in (0, 1)").na.fill("", ["value", "before", "after", "path"])
+    kept = stored(kept.select("value", "before", "after", "path", "label"), "labelled")
     order = F.xxhash64("value", "before", "after", "path"), F.col("value"), F.col("before")
     halves = [kept.where(F.col("label") == label).orderBy(*order).limit(train_rows // 2) for label in (0, 1)]
     rows = halves[0].unionByName(halves[1]).select(
@@ -128,10 +159,12 @@ def train(labelled: DataFrame, words: list[str], train_rows: int = TRAIN_ROWS) -
         array_to_vector(features(finding, F.col("path"), words)).alias("features"),
     ).cache()
     try:
-        if rows.select("label").distinct().count() < 2:
-            return [0.0]
-        forest = RandomForestClassifier(numTrees=N_TREES, maxDepth=MAX_DEPTH, seed=7)
-        model = forest.fit(rows)
+        counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+        if len(counts) < 2:
+            return [RULE] if counts else [0.0]
+        weight = F.when(F.col("label") == 1, counts[0.0] / counts[1.0]).otherwise(1.0)
+        forest = RandomForestClassifier(numTrees=N_TREES, maxDepth=MAX_DEPTH, seed=7, weightCol="weight")
+        model = forest.fit(rows.withColumn("weight", weight))
         return [_tree(tree._java_obj.rootNode()) for tree in model.trees]
     finally:
         rows.unpersist()
@@ -191,21 +224,66 @@ def redact(scanned: DataFrame, mask: str = MASK) -> DataFrame:
 def rule_labels(docs: DataFrame, path: str = "source") -> DataFrame:
     """Findings labelled by plain rules, for corpora without reviewed ones.
 
-    A value of mixed letters and digits that is assigned to a credential's name is a
-    secret. A value of letters alone or digits alone is not. Others have no label. Each
-    labelled value comes again with the other kind of surroundings (none for a secret, a
-    credential's assignment for the rest), so that the forest cannot go by them alone.
+    A value of mixed letters and digits that is assigned to a credential's name or is the
+    password of a URL is a secret, and so is one of a known form. In other surroundings
+    a value of letters alone or digits alone, a hash, a UUID, a dated slug, a path and a
+    placeholder are none. Others have no label. Surroundings stay as they are.
+
+    So that the forest always sees values that are hard to tell from secrets, each document
+    adds one hash, UUID, slug or path made from its text, in its own surroundings; and each
+    value of letters or digits alone comes again in a credential's assignment.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")
     found = docs.select(where, F.explode(findings_of(F.col("text"))).alias("f")).select("path", "f.*")
-    mixed = F.rlike("value", F.lit("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
-    assigned = F.rlike("before", F.lit(rf"({CREDENTIAL})[\w .\-\"']{{0,20}}[=:]\s*[\"']?$"))
-    plain = F.rlike("value", F.lit("^([A-Za-z_+/\\-]+|[0-9\\-]+)=*$"))
-    label = F.when(mixed & assigned, 1).when(plain & ~assigned, 0)
-    again = F.when(
-        F.col("label") == 1, F.struct("value", F.lit("").alias("before"), F.lit("").alias("after"))
-    ).otherwise(F.struct("value", F.lit('token = "').alias("before"), F.lit('"').alias("after")))
-    both = F.explode(F.array(F.struct("value", "before", "after"), again)).alias("f")
-    return found.withColumn("label", label).where("label is not null").select("path", "label", both).select(
-        "path", "label", "f.*"
+
+    def is_like(column: str, pattern: str) -> Column:
+        return F.rlike(column, F.lit(pattern))
+
+    mixed = is_like("value", "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+    in_url = is_like("before", f"{USER_INFO}$") & is_like("after", "^@")
+    assigned = is_like("before", f"{ASSIGNED}$") | in_url
+    plain = is_like("value", "^([A-Za-z_+/\\-]+|[0-9\\-]+)=*$")
+    placeholder = is_like("value", PLACEHOLDER)
+    code = is_like("value", r"[(){}\[\]$<>]") & ~is_like("before", "[\"']$")
+    hard = F.lit(False)
+    for pattern in (UUID, HASH, DATED, PLAIN_PATH, PLACEHOLDER):
+        hard = hard | is_like("value", pattern)
+    known = is_like("value", KNOWN_TOKEN)
+    label = (
+        F.when(((mixed & assigned) | known) & ~placeholder & ~code, 1)
+        .when(plain & ~assigned, 0)
+        .when(hard & ~assigned & ~is_like("before", CREDENTIAL), 0)
+    )
+    again = F.struct("value", F.lit('token = "').alias("before"), F.lit('"').alias("after"))
+    own = F.struct("value", "before", "after")
+    both = F.explode(F.when((F.col("label") == 0) & plain, F.array(own, again)).otherwise(F.array(own))).alias("f")
+    labelled = found.withColumn("label", label).where("label is not null").select("path", "label", both)
+    return labelled.select("path", "label", "f.*").unionByName(_hard_negatives(docs, where))
+
+
+def _hard_negatives(docs: DataFrame, path: Column) -> DataFrame:
+    """One mixed value that is no secret for each document, between the words of its text."""
+    start = F.left("text", F.lit(400))
+    h = F.xxhash64(start)
+    words = F.slice(F.regexp_extract_all(F.lower(start), F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)
+
+    def number(shift: int, of: int, first: int) -> Column:
+        return F.lpad((F.pmod(F.shiftright(h, shift), F.lit(of)) + first).cast("string"), 2, "0")
+
+    date = F.concat_ws("-", F.concat(F.lit("20"), number(3, 30, 0)), number(9, 12, 1), number(15, 28, 1))
+    made = F.array(
+        F.sha1(start.cast("binary")),
+        F.sha2(start.cast("binary"), 256),
+        F.md5(start.cast("binary")),
+        F.regexp_replace(F.md5(start.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
+        F.concat(date, F.lit("-"), F.array_join(words, "-")),
+        F.concat(F.lit("/"), F.array_join(words, "/"), F.lit("/"), F.replace(date, F.lit("-"), F.lit("/"))),
+    )
+    names = F.array(*[F.lit(x) for x in ("", "", "commit ", "sha256: ", 'id = "', 'checksum="', "rev: ")])
+    name = F.get(names, F.pmod(F.shiftright(h, 21), F.lit(7)))
+    real = F.regexp_extract(F.get(F.split(start, CREDENTIAL, 2), F.lit(0)), r"(?s)^(.{0,47}\s)", 1)
+    after = F.concat(F.when(name.endswith('"'), F.lit('" ')).otherwise(F.lit(" ")), F.substr("text", F.length(real) + 1, F.lit(60)))
+    return docs.where(F.size(words) == 3).select(
+        path, F.lit(0).alias("label"), F.get(made, F.pmod(F.shiftright(h, 27), F.lit(6))).alias("value"),
+        F.concat(real, name).alias("before"), after.alias("after"),
     )
