@@ -1,6 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
-A pattern names candidates: unbroken runs of letters, digits and a few signs. Each is
+A pattern names candidates: what is assigned to a credential's name or stands in the user
+part of a URL, of any length and signs, and unbroken runs of letters, digits and a few
+signs. Each is
 described by its length, its character classes and the transitions between them, how
 much of it dictionary words cover, the path of its document, and the words and signs
 next to it. A random forest trained on labelled findings then says which candidates are
@@ -46,7 +48,16 @@ ASSIGNED = rf"(?:{CREDENTIAL.replace('(?i)', '(?i:')}))[\w .\-\"']{{0,20}}[=:]{{
 USER_INFO = r"://[^\s:@/?#]{0,100}:?"
 
 _RUN = "A-Za-z0-9+/_\\-"
-CANDIDATE = rf"(?<![{_RUN}])[{_RUN}]{{16,}}+={{0,2}}"
+_QUOTED = r"(?<={0})[^{0}\r\n]++(?:(?<=\\){0}[^{0}\r\n]*+){{0,50}}+(?={0})"
+_OPEN = r"(?:(?<=[\"'])[^\s\"']++|(?<![\"'])[^\s\"'=>]\S*(?<![,;.)\]}\"']))"
+CANDIDATE = "|".join([
+    # The first two look for what is cheap to find out.
+    rf"(?<=[=:>\"'\s])(?<=[=:]>?\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s)?)(?<={ASSIGNED})(?!(?i:bearer|basic)\s)"
+    rf"(?:{_QUOTED.format(chr(34))}|{_QUOTED.format(chr(39))}|{_OPEN})",
+    r"(?<=:)(?<=://[^\s:@/?#]{0,100}:)[^\s/\"']+(?=@)",
+    r"(?<=://)[^\s/:@?#\"']++(?=@)",
+    rf"(?<![{_RUN}])(?!//[^\s/@]+@)[{_RUN}]{{16,}}+={{0,2}}",
+])
 
 #: Mixed values that identify rather than authorise, and tokens known by their form.
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"

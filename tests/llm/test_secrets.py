@@ -112,6 +112,26 @@ def test_hashes_and_identifiers_are_not_secrets(spark):
 def test_one_kind_of_label_does_not_pass_every_secret(spark):
     rows = [(f"thingword{'word' * i}", "", "", "", 0) for i in range(9)]
     trees = secrets.train(spark.createDataFrame(rows, "value string, before string, after string, path string, label int"), WORDS)
-    texts = [f'token = "{KEY}"', f"commit {KEY}"]
+    texts = [f'token = "{KEY}"', f"commit {KEY}", "http://user:pw@host/"]
     found = secrets.scan(docs(spark, texts), trees, WORDS).orderBy("doc_id").collect()
-    assert [[f.is_secret for f in r.findings] for r in found] == [[True], [False]]
+    assert [[f.is_secret for f in r.findings] for r in found] == [[True], [False], [True]]
+
+
+def test_short_and_odd_credentials_are_candidates(spark):
+    cases = {
+        'password = "P@ss-w0rd!"': ["P@ss-w0rd!"],
+        "see https://user:p@ss:w0rd@host.example/path": ["p@ss:w0rd"],
+        "git clone https://gh0.tok~n@host.example/x": ["gh0.tok~n"],
+        "MY_SERVICE_SECRET_TOKEN=ab1": ["MY_SERVICE_SECRET_TOKEN=", "ab1"],
+        '{"api_key": "a.b;c$1", "n": 1}': ["a.b;c$1"],
+        "PASSWORD: x7!, next": ["x7!"],
+        "pwd='a b9' token=\"q\\\"r8\"": ["a b9", 'q\\"r8'],
+        "Authorization: Bearer ab.cd.e1": ["ab.cd.e1"],
+        "a short w0rd: x and http://host:80/a@b": [],
+    }
+    rows = docs(spark, list(cases)).select("doc_id", secrets.findings_of(F.col("text")).alias("f")).orderBy("doc_id").collect()
+    assert [[f.value for f in r.f] for r in rows] == list(cases.values())
+    assert rows[3].f[1].before.endswith("SECRET_TOKEN=")
+    trees = [secrets.RULE]
+    masked = {r.doc_id: r.text for r in secrets.redact(secrets.scan(docs(spark, list(cases)), trees, WORDS)).collect()}
+    assert masked[0] == 'password = "<secret>"' and masked[1] == "see https://user:<secret>@host.example/path"
