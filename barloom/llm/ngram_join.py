@@ -48,7 +48,7 @@ SMALL_BUCKET = 32
 MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1000
-MAX_BROADCAST_NEEDED = 400_000  # rows of ids and places
+MAX_BROADCAST_NEEDED = 0  # rows of ids and places: none is broadcast, see links
 KNOWN_WORDS = 200_000
 
 _U64 = np.uint64
@@ -285,9 +285,9 @@ def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
         .groupBy("cid", "doc_id", "sig")
         .agg(F.collect_list(job).alias("jobs"))  # places of one prefix, times blocks
     )
-    jobs = stored(jobs, "jobs")
-    side = F.broadcast(jobs) if jobs.count() <= MAX_BROADCAST_NEEDED else jobs
-    texts = _with_ids(docs).join(side.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    # Shuffled at every size: the lists of places have no bound that would allow a broadcast.
+    side = stored(jobs, "jobs").withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+    texts = _with_ids(docs).join(side, F.col("doc_id") == F.col("_id"))
 
     @F.arrow_udf("binary")
     def tokens_of(sources: pa.Array, sigs: pa.Array) -> pa.Array:

@@ -112,3 +112,10 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
     assert roots == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_texts_meet_their_places_without_a_broadcast(spark):
+    table = docs(spark, [f"{'a b c d e f g h i j k l m n o p ' * 2}{i}" for i in range(6)])
+    found = nj.classes(table, 3, 80)
+    plan = nj.links(table, found, 3, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
