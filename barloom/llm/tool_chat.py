@@ -13,7 +13,8 @@ joins for each step of the longest chain of dependencies.
 
 Nulls and the like: a call without an identifier has no result and cannot be depended
 on; of calls (or results) that share one, the first by turn and content counts, and the
-others keep their rows as ``repeated``. Results nobody called for have no row. A
+others keep their rows as ``repeated``. Results nobody called for, and repeated ones, have
+no row among the calls; ``unlinked`` returns them. A
 dependency that names no call is ignored, calls in a cycle come last and have no level.
 Arguments that are null or no JSON object are invalid, as is an unknown tool. Equal
 turns are ordered by identifier and arguments. Empty tables give empty results; columns
@@ -64,6 +65,22 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The ``results`` that ``link`` gives to no call, with ``status``: orphan or repeated.
+
+    An orphan has no call of its conversation and identifier, or lacks one of the two; a
+    repeated one differs from the first result of its identifier, which the call has.
+    """
+    keys = ["conv_id", "call_id"]
+    order = F.struct("turn", "content")
+    called = calls.select(*keys).where("conv_id is not null and call_id is not null").distinct()
+    firsts = results.groupBy(*keys).agg(F.min(order).alias("first"))
+    known = firsts.join(called.withColumn("called", F.lit(True)).hint("shuffle_hash"), keys)
+    status = F.when(F.col("called").isNull(), "orphan").when(~F.col("first").eqNullSafe(order), "repeated")
+    rows = results.join(known.hint("shuffle_hash"), keys, "left").withColumn("status", status)
+    return rows.where("status is not null").select("conv_id", "turn", "call_id", "content", "status")
+
+
 def levels(linked: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id`` and the ``level`` of every call that others may depend on."""
     keys = ["conv_id", "call_id"]

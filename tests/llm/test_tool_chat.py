@@ -101,3 +101,12 @@ def test_exact_repeats_are_kept(spark):
 def test_empty_tables(spark):
     assert _run(spark, []) == []
     assert [r.errors for r in _run(spark, [(1, 0, "i", "f", "{}", None)], tools=[])] == ["tool"]
+
+
+def test_results_without_a_call_of_their_own_are_returned(spark):
+    calls = [(1, 2, "i", "f", '{"a":2}', None), (1, 4, None, "f", "{}", None)]
+    results = [(1, 9, "i", "late"), (1, 3, "i", "early"), (1, 3, None, "nobody"), (1, 1, "lost", "x"), (None, 3, "i", None)]
+    rows = tool_chat.unlinked(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)).collect()
+    assert sorted((r.status, str(r.call_id), r.content or "") for r in rows) == [
+        ("orphan", "None", "nobody"), ("orphan", "i", ""), ("orphan", "lost", "x"), ("repeated", "i", "late"),
+    ]
