@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, langid, ngram_join, pieces, quality, secrets, sharding, token_files, tool_chat
+from barloom.llm import (
+    decontaminate, hard_negatives, html_text, langid, ngram_join, periodic, pieces, pruned_graph, quality, secrets,
+    sharding, token_files, tool_chat,
+)
 from barloom.scratch import scratch_folder, stored
 
 SHARDS = 40
@@ -184,6 +187,60 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one, in graphs over all of them."""
+    rows = table(spark, sf_dir, "embeddings")
+    shards = pruned_graph.index(rows, "vec_id", "embedding")
+    found = pruned_graph.search(shards, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on by one."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(finite).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vector"),
+    )
+    return hard_negatives.mine(rows, "vec_id", "label", "vector", F.col("vec_id") % 50 == 0)
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every tenth document by checksum repeats a stretch of itself.
+
+    Such a text, given as its words, goes on from word ``a`` with copies of the ``p`` words there.
+    """
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    rows = docs.select(
+        "doc_id", "text", F.floor(checksum / 10).alias("g"), F.when(checksum % 10 == 0, words).alias("words")
+    )
+    numbered = rows.select("*", F.size("words").cast("long").alias("n"), F.expr("g % size(words)").alias("a")).where("n > 0")
+    numbered = numbered.select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    copies = F.expr("flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a + p - 1) div p)))")
+    again = F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), F.slice(copies, F.lit(1), F.expr("int(n - a)"))), " ")
+    rest = rows.where("coalesce(size(words), 0) <= 0").select("doc_id", "text")
+    return rest.union(numbered.select("doc_id", again))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, its most repeated one, and its text without repeats, as digests."""
+    found = periodic.with_runs(repeated_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = found.select("*", periodic.most_repeated(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_sharding,
@@ -196,6 +253,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_tool_chat,
         op9_token_files,
         op10_html_extraction,
+        op11_nearest_vectors,
+        op12_hard_negatives,
+        op13_periodic_runs,
     ]
     return {query.__name__: query for query in named}
 
@@ -307,5 +367,32 @@ select conv_id,
 from judged"""
 
 
+_HARD_NEGATIVES = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id as id, r.label = a.label as is_same,
+         list_inner_product(a.v, r.v)::bigint as score
+  from rows a join rows r on len(a.v) = len(r.v) and a.vec_id <> r.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where is_same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, id))::integer as rank,
+       id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not is_same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _DECONTAMINATION, "op6_ngram_join": _NGRAM_JOIN, "op8_tool_chat": _TOOL_CHAT}
+    return {
+        "op4_decontamination": _DECONTAMINATION,
+        "op6_ngram_join": _NGRAM_JOIN,
+        "op8_tool_chat": _TOOL_CHAT,
+        "op12_hard_negatives": _HARD_NEGATIVES,
+    }
