@@ -17,14 +17,15 @@ the first rows of another label in that window are its negatives.
     their partition (the DataFrame form of a repartition with a sort within partitions).
 4.  A streaming iterator reads the sorted rows. A positive opens its window; a negative
     goes to every open window it lies in that is not yet full. Only the open windows of
-    one anchor are held, never an anchor's rows. A window at score 0 holds scores that
-    may come before their positive, so the first negatives at 0 are remembered.
+    one anchor are held, never an anchor's rows. A window may hold its positive's own
+    score (at score 0, or up to 100 %), so the first negatives of the current score are
+    remembered for positives that follow.
 
 Nulls and the like: rows with a null id or label, a null or empty vector or a null
 component take no part. Vectors of different lengths never meet. A row is known by its
 id: no row with the anchor's id is its positive; of a repeated anchor id every row is an
 anchor, and repeated rows count each. A positive of negative score has no window, as the
-bounds then exclude each other. An inner product beyond 64 bits fails the job. Empty
+bounds then exclude each other (or allow its own score alone, if both are 100 %). An inner product beyond 64 bits fails the job. Empty
 tables give no rows. Only the named columns are read.
 """
 
@@ -66,6 +67,8 @@ def mine(
     ``vector`` is an array of integers; a negative has at least ``low_percent`` and at
     most ``high_percent`` of its positive's score.
     """
+    if high_percent > 100:
+        raise ValueError("negatives score at most as high as their positive")
     sound = F.coalesce(F.size(vector) > 0, F.lit(False)) & F.forall(vector, lambda x: x.isNotNull())
     kept = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & sound)
 
@@ -213,7 +216,7 @@ def _unkeyed(keys: pa.Array) -> np.ndarray:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], negatives: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    anchor, windows, at_zero = None, [], []
+    anchor, last, windows, tied = None, None, [], []
     for batch in batches:
         out: list[tuple] = []
 
@@ -225,18 +228,19 @@ def _stream(batches: Iterator[pa.RecordBatch], negatives: int, low: int, high: i
         rows = zip(_unkeyed(batch.column(0)).tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
         for (number, score, ident), anchor_id, is_positive in rows:
             if number != anchor:
-                anchor, windows, at_zero = number, [], []
+                anchor, last, windows = number, None, []
+            if score != last:
+                last, tied = score, []
             if is_positive:
                 windows.append([ident, score, 0])
-                if score == 0:
-                    for held in at_zero:
-                        give(windows[-1], held, 0, anchor_id)
+                for held in tied if low * score <= 100 * score <= high * score else []:
+                    give(windows[-1], held, score, anchor_id)
                 continue
             for window in windows:
                 if window[2] < negatives and low * window[1] <= 100 * score <= high * window[1]:
                     give(window, ident, score, anchor_id)
-            if score == 0 and len(at_zero) < negatives:
-                at_zero.append(ident)
+            if len(tied) < negatives:
+                tied.append(ident)
         columns = list(zip(*out)) or [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(

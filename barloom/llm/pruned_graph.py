@@ -43,10 +43,10 @@ from barloom.scratch import stored
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 2048
-DEGREE = 32
+DEGREE = 48
 BUILD_BEAM = 64
-BEAM = 96
-ALPHA = 1.2
+BEAM = 128
+ALPHA = 1.05
 SEARCHED = 256  # searches that advance together
 EXPANDED = 4  # nodes expanded in one step of a search
 SHARDS_TOGETHER = 4  # searched by one task, which keeps the best of all

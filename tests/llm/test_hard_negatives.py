@@ -1,0 +1,126 @@
+"""Hard negatives against a plain search over all pairs."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import grid, hard_negatives, queries
+
+SF = "/root/testdata/sf0.001"
+ROWS = "vec_id long, label int, vector array<long>"
+ANCHORS = "vec_id % 50 = 0"
+
+
+def plain(rows, is_anchor, positives=5, negatives=3, low=50, high=95):
+    rows = [r for r in rows if None not in r and r[2] and None not in r[2]]
+    found = []
+    for anchor, label, vector in (r for r in rows if is_anchor(r[0])):
+        scored = sorted(
+            (-sum(x * y for x, y in zip(vector, v)), i, other == label)
+            for i, other, v in rows if len(v) == len(vector)
+        )
+        for score, positive, _ in [s for s in scored if s[2] and s[1] != anchor][:positives]:
+            inside = [s for s in scored if not s[2] and low * -score <= 100 * -s[0] <= high * -score]
+            found += [(anchor, positive, k, s[1], -score, -s[0]) for k, s in enumerate(inside[:negatives], 1)]
+    return sorted(found)
+
+
+def mined(spark, rows, **more):
+    found = hard_negatives.mine(spark.createDataFrame(rows, ROWS), "vec_id", "label", "vector", F.expr(ANCHORS), **more)
+    return sorted(map(tuple, found.collect()))
+
+
+def made_rows(seed, count, size=6, most=4):
+    chance = np.random.default_rng(seed)
+    vectors = chance.integers(-most, most + 1, (count, size))
+    return [(i, int(chance.integers(3)), [int(x) for x in v]) for i, v in enumerate(vectors)]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(hard_negatives, "ANCHOR_ROWS", 3)
+    monkeypatch.setattr(hard_negatives, "SCORED", 2)
+
+
+def test_many_blocks_and_ties_are_the_plain_search(spark, small_blocks):
+    rows = made_rows(1, 400)  # few different scores: ties everywhere
+    expected = plain(rows, lambda i: i % 50 == 0)
+    assert len(expected) > 50 and mined(spark, rows) == expected
+
+
+def test_other_numbers_of_positives_and_negatives(spark, small_blocks):
+    rows = made_rows(2, 300)
+    expected = plain(rows, lambda i: i % 50 == 0, 2, 7, 10, 100)
+    assert mined(spark, rows, positives=2, negatives=7, low_percent=10, high_percent=100) == expected
+
+
+def test_windows_at_score_zero_hold_ids_before_their_positive(spark, small_blocks):
+    rows = [(0, 1, [1, 0])] + [(i, 2, [0, i]) for i in range(1, 9)] + [(9, 1, [0, 9]), (10, 2, [0, 7]), (11, 1, [-1, 0])]
+    expected = plain(rows, lambda i: i % 50 == 0)
+    assert expected == [(0, 9, 1, 1, 0, 0), (0, 9, 2, 2, 0, 0), (0, 9, 3, 3, 0, 0)]
+    assert mined(spark, rows) == expected
+
+
+def test_query_is_the_plain_search_on_whole_tables(spark):
+    rows = [
+        (r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, [int(np.floor(256 * float(x))) for x in r.embedding])
+        for r in queries.table(spark, SF, "embeddings").collect()
+    ]
+    expected = plain(rows, lambda i: i % 50 == 0)
+    assert sorted(map(tuple, queries.op12_hard_negatives(spark, SF).collect())) == expected
+
+
+def test_one_vector_on_a_third_of_all_rows(spark, small_blocks):
+    rows = [(i, r[1], [3, 1, 0, 0, 0, 0]) if i % 3 == 0 else r for i, r in enumerate(made_rows(3, 400))]
+    assert mined(spark, rows) == plain(rows, lambda i: i % 50 == 0)
+
+
+def test_nulls_lengths_and_repeated_rows(spark):
+    rows = made_rows(4, 60) + [
+        (None, 1, [1] * 6), (100, None, [1] * 6), (150, 1, None), (200, 1, []), (250, 1, [1, None, 1, 1, 1, 1]), (300, 1, [4, 4]), (301, 1, [4, 3]), (302, 2, [3, 3]),
+    ]
+    expected = plain(rows, lambda i: i is not None and i % 50 == 0)
+    assert {r[0] for r in expected} == {0, 50, 300}
+    assert mined(spark, rows) == expected
+    twice = mined(spark, [r for r in rows if r[0] == 300] + rows)
+    assert [r for r in twice if r[0] == 300] == sorted([r for r in expected if r[0] == 300] * 2)
+    assert mined(spark, []) == []
+    assert mined(spark, [(1, 1, [1])]) == []
+
+
+def test_columns_of_any_name_are_left_alone(spark):
+    rows = spark.createDataFrame(made_rows(1, 120), ROWS)
+    extra = rows.selectExpr("*", "1 as id", "2 as number", "3 as score", "4 as anchor", "'x' as `a.b`")
+    found = [hard_negatives.mine(df, "vec_id", "label", "vector", F.expr(ANCHORS)).collect() for df in (rows, extra)]
+    assert sorted(found[0]) == sorted(found[1]) != []
+
+
+def test_large_numbers_stay_exact(spark):
+    rows = [(i, i % 2, [(1 << 30) + 3 * i, 1, i]) for i in range(60)]
+    assert mined(spark, rows) == plain(rows, lambda i: i % 50 == 0)
+    with pytest.raises(Exception, match="64 bits"):
+        mined(spark, [(0, 1, [1 << 40]), (1, 1, [1 << 40])])
+
+
+def test_keys_order_by_anchor_falling_score_and_rising_id():
+    import pyarrow as pa
+
+    chance = np.random.default_rng(6)
+    rows = [tuple(map(int, r)) for r in chance.integers(-3, 4, (200, 3))] + [(0, -(1 << 63), 1), (0, (1 << 63) - 1, -(1 << 63))]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 0, 2, 1)], ["anchor", "anchor_id", "id", "score"]
+    )
+    keys = hard_negatives._keyed(batch, True).column(0)
+    assert [tuple(r) for r in hard_negatives._unkeyed(keys).tolist()] == rows
+    by_key = sorted(range(len(rows)), key=lambda i: keys[i].as_py())
+    assert [rows[i] for i in by_key] == sorted(rows, key=lambda r: (r[0], -r[1], r[2]))
+
+
+def test_blocks_are_even_whatever_the_keys(spark):
+    rows = [(7, 1, [1, 2])] * 900
+    df = spark.createDataFrame(rows, ROWS).selectExpr("vec_id", "vector").repartition(5)
+    sizes = [len(r.vec_id) for r in grid.packed(df, 100, "int64").collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 120
