@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.sampling import first_by_hash
+
 SAMPLE_ROWS = 20_000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -176,20 +178,17 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, float] | None:
     """The forest and its threshold, from at most ``sample_rows`` labelled documents."""
-    by_hash = F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")
-    sample = (
-        labels.select("doc_id", "quality")
-        .where("doc_id is not null and quality in (0, 1)")
-        .orderBy(*by_hash)
-        .limit(sample_rows)
-    )
+    labelled = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
+    sample = first_by_hash(labelled, sample_rows, F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"))
     counts = _counts(F.col("text"))
     found = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")  # at most sample_rows short rows
         .select("quality", counts.alias("counts"))
         .select("quality", *[f"counts.{name}" for name in COUNTS])
-        .limit(2 * sample_rows)  # only repeated ids can exceed the sample
+        # Only repeated ids can exceed the sample; which of their rows stay follows from the rows.
+        .orderBy(F.xxhash64("quality", *COUNTS), "quality", *COUNTS)
+        .limit(2 * sample_rows)
         .toPandas()
         .sort_values(["quality", *COUNTS])
     )
@@ -228,7 +227,6 @@ def judge(docs: DataFrame, model: tuple[Forest, float] | None) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], [name for name, _ in fields])
 
     names = [name for name, _ in fields]
-    rest = [c for c in docs.columns if c not in names and c != "_judged"]
-    return docs.select(*rest, judged(F.col("text").cast("binary")).alias("_judged")).select(
-        *rest, *[f"_judged.{name}" for name in names]
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
+    got = judged(F.col("text").cast("binary")).alias("judged")
+    return docs.select(row, got).select("row.*", *[f"judged.{name}" for name in names])

@@ -20,11 +20,14 @@ Added columns replace columns of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.sampling import first_by_hash
 from barloom.scratch import stored
 
 DICTIONARY_WORDS = 300
@@ -42,21 +45,28 @@ PLACEHOLDER = r"(?i)example|sample|dummy|fake|placeholder|changeme|your|xxxx|tes
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|specs?|mocks?|examples?|docs?|fixtures?|samples?)([/_.\-]|$)"
 CODE_PATH = r"(?i)\.(py|js|ts|java|go|rb|php|c|cc|cpp|cs|rs|sh|ya?ml|json|toml|ini|cfg|conf|env|properties|xml)$"
 
-#: What ends right before a value that is assigned to a credential's name. Lookbehinds
-#: must be bounded, so names have up to 20 further characters.
-ASSIGNED = rf"(?:{CREDENTIAL.replace('(?i)', '(?i:')}))[\w .\-\"']{{0,20}}[=:]{{1,2}}>?\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s)?"
-USER_INFO = r"://[^\s:@/?#]{0,100}:?"
+#: What ends right before a value that is assigned to a credential's name: the rest of
+#: the name, of any length, up to 20 characters more, and the sign. A name is looked at
+#: once, from its beginning, so names that repeat these words cost no more than others.
+_WORD = CREDENTIAL.replace("(?i)", "(?i:") + ")"
+_SIGN = r"""[\w .\-"']{0,20}[=:]{1,2}>?\s{0,3}["']?(?:(?i:bearer|basic)\s)?"""
+NAMED = rf"(?<![\w.\-])(?>[\w.\-]*?{_WORD})[\w.\-]*+{_SIGN}"
+ASSIGNED = rf"{_WORD}[\w.\-]*+{_SIGN}"
+USER_INFO = r"://[^\s:@/?#]*+:?"
+
+#: Fixed noncharacters that mark where values start: after a credential's name and sign,
+#: after a URL's user, and at a URL's only user part; the first escapes them in texts.
+_ESCAPE, _VALUE, _PASSWORD, _USER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_MARKS = f"[{_ESCAPE}-{_USER}]"
 
 _RUN = "A-Za-z0-9+/_\\-"
-_QUOTED = r"(?<={0})[^{0}\r\n]++(?:(?<=\\){0}[^{0}\r\n]*+){{0,50}}+(?={0})"
-_OPEN = r"(?:(?<=[\"'])[^\s\"']++|(?<![\"'])[^\s\"'=>]\S*(?<![,;.)\]}\"']))"
+_QUOTED = rf"(?<={{0}}{_VALUE})[^{{0}}\r\n]++(?:(?<=\\){{0}}[^{{0}}\r\n]*+)*+(?={{0}})"
+_OPEN = rf"(?:(?<=[\"']{_VALUE})[^\s\"']++|(?<![\"']{_VALUE})[^\s\"'=>]\S*(?<![,;.)\]}}\"']))"
 CANDIDATE = "|".join([
-    # The first two look for what is cheap to find out.
-    rf"(?<=[=:>\"'\s])(?<=[=:]>?\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s)?)(?<={ASSIGNED})(?!(?i:bearer|basic)\s)"
-    rf"(?:{_QUOTED.format(chr(34))}|{_QUOTED.format(chr(39))}|{_OPEN})",
-    r"(?<=:)(?<=://[^\s:@/?#]{0,100}:)[^\s/\"']+(?=@)",
-    r"(?<=://)[^\s/:@?#\"']++(?=@)",
-    rf"(?<![{_RUN}])(?!//[^\s/@]+@)[{_RUN}]{{16,}}+={{0,2}}",
+    rf"(?<={_VALUE})(?!(?i:bearer|basic)\s)(?:{_QUOTED.format(chr(34))}|{_QUOTED.format(chr(39))}|{_OPEN})",
+    rf"(?<={_PASSWORD})[^\s/\"']+(?=@)",
+    rf"(?<={_USER})[^\s/:@?#\"']++(?=@)",
+    rf"(?<![{_RUN}])(?!//{_USER}?[^\s/@]+@)[{_RUN}]{{16,}}+={{0,2}}",
 ])
 
 #: Mixed values that identify rather than authorise, and tokens known by their form.
@@ -79,22 +89,58 @@ def _dictionary_pattern(words: list[str]) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w))) or "(?!)"
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _marked(text: Column) -> Column:
+    """A text with marks where values start that are known by what stands before them."""
+    plain = text
+    for i, mark in enumerate([_ESCAPE, _VALUE, _PASSWORD, _USER]):
+        plain = F.replace(plain, F.lit(mark), F.lit(f"{_ESCAPE}{i}"))
+    named = F.regexp_replace(F.when(F.rlike(text, F.lit(_MARKS)), plain).otherwise(text), NAMED, f"$0{_VALUE}")
+
+    def with_users(t: Column) -> Column:
+        only = F.regexp_replace(t, r"://(?=[^\s/:@?#\"']++@)", f"$0{_USER}")
+        return F.when(F.contains(t, F.lit("://")), F.regexp_replace(only, r"://[^\s:@/?#]*+:", f"$0{_PASSWORD}")).otherwise(t)
+
+    return _with(named, with_users)
+
+
+def _unmarked(text: Column) -> Column:
+    bare = F.regexp_replace(text, f"[{_VALUE}-{_USER}]", "")
+    for i, mark in reversed(list(enumerate([_ESCAPE, _VALUE, _PASSWORD, _USER]))):
+        bare = F.replace(bare, F.lit(f"{_ESCAPE}{i}"), F.lit(mark))
+    return F.when(F.rlike(text, F.lit(_MARKS)), bare).otherwise(text)
+
+
 def findings_of(text: Column) -> Column:
     """The candidates of a text in order, each with the text right before and after it.
 
-    What is before goes back over the candidate before, which may be the name of this one.
+    What is before goes back over the candidate before, which may be the name of this one,
+    and holds the whole name of an assigned value. Each text is searched twice, for the
+    candidates and for what is between them, however many there are.
     """
     pattern = F.lit(CANDIDATE)
-    values = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    found = F.transform(values, lambda value, i: F.struct(
-        value.alias("value"),
-        F.right(
-            F.concat(F.when(i > 0, F.get(values, i - 1)).otherwise(""), F.element_at(gaps, i + 1)), F.lit(CONTEXT_CHARS)
-        ).alias("before"),
-        F.left(F.element_at(gaps, i + 2), F.lit(CONTEXT_CHARS)).alias("after"),
+
+    def between(cut: Column) -> Column:
+        def finding(value: Column, i: Column) -> Column:
+            gap = F.element_at(cut.gaps, i + 1)
+            start = F.concat(F.when(i > 0, F.get(cut.values, i - 1)).otherwise(""), gap)
+            name = F.when(F.endswith(gap, F.lit(_VALUE)), F.length(F.regexp_extract(start, f"{NAMED}{_VALUE}$", 0)))
+            return F.struct(
+                _unmarked(value).alias("value"),
+                F.right(_unmarked(start), F.greatest(F.lit(CONTEXT_CHARS), name)).alias("before"),
+                F.left(_unmarked(F.element_at(cut.gaps, i + 2)), F.lit(CONTEXT_CHARS)).alias("after"),
+            )
+
+        return F.transform(cut.values, finding)
+
+    cut = _with(_marked(text), lambda marked: F.struct(
+        F.regexp_extract_all(marked, pattern, F.lit(0)).alias("values"), F.split(marked, CANDIDATE, -1).alias("gaps")
     ))
-    return F.coalesce(found, F.array().cast(f"array<{FINDING}>"))
+    return F.coalesce(_with(cut, between), F.array().cast(f"array<{FINDING}>"))
 
 
 def _count(value: Column, pattern: str) -> Column:
@@ -164,7 +210,7 @@ def train(labelled: DataFrame, words: list[str], train_rows: int = TRAIN_ROWS) -
     kept = labelled.where("label in (0, 1)").na.fill("", ["value", "before", "after", "path"])
     kept = stored(kept.select("value", "before", "after", "path", "label"), "labelled")
     order = F.xxhash64("value", "before", "after", "path"), F.col("value"), F.col("before")
-    halves = [kept.where(F.col("label") == label).orderBy(*order).limit(train_rows // 2) for label in (0, 1)]
+    halves = [first_by_hash(kept.where(F.col("label") == label), train_rows // 2, *order) for label in (0, 1)]
     rows = halves[0].unionByName(halves[1]).select(
         F.col("label").cast("double").alias("label"),
         array_to_vector(features(finding, F.col("path"), words)).alias("features"),
@@ -223,12 +269,12 @@ def scan(docs: DataFrame, trees: list, words: list[str], path: str = "source") -
 
 def redact(scanned: DataFrame, mask: str = MASK) -> DataFrame:
     """The scanned documents with ``mask`` in the place of each secret, without ``findings``."""
-    gaps = F.split("text", CANDIDATE, -1)
+    gaps = F.split(_marked(F.col("text")), CANDIDATE, -1)
     shown = F.transform(
         "findings", lambda f: F.when(f.is_secret, F.lit(mask)).otherwise(f.value)
     )
     pieces = F.zip_with(gaps, shown, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-    text = F.when(F.exists("findings", lambda f: f.is_secret), F.array_join(pieces, "")).otherwise(F.col("text"))
+    text = F.when(F.exists("findings", lambda f: f.is_secret), _unmarked(F.array_join(pieces, ""))).otherwise(F.col("text"))
     return scanned.withColumn("text", text).drop("findings")
 
 

@@ -135,3 +135,67 @@ def test_short_and_odd_credentials_are_candidates(spark):
     trees = [secrets.RULE]
     masked = {r.doc_id: r.text for r in secrets.redact(secrets.scan(docs(spark, list(cases)), trees, WORDS)).collect()}
     assert masked[0] == 'password = "<secret>"' and masked[1] == "see https://user:<secret>@host.example/path"
+
+
+def test_names_and_users_of_any_length(spark):
+    name = "token_for_the_payment_service_" + "of_the_northern_region_" * 9 + "prod"
+    cases = {
+        f'{name} = "k9!x"': ["k9!x"] if len(name) < 16 else [name, "k9!x"],
+        f"https://{'u' * 300}.{'v' * 15}:p4$s@host/": ["p4$s"],
+        f"https://{'~u' * 200}@host/": ["~u" * 200],
+    }
+    found = docs(spark, list(cases)).select("doc_id", secrets.findings_of(F.col("text")).alias("f")).orderBy("doc_id").collect()
+    values = [[f.value for f in r.f] for r in found]
+    assert values[0] == cases[next(iter(cases))]
+    assert all(set(expected) <= set(have) for expected, have in zip(cases.values(), values))
+    assert found[0].f[-1].before.startswith("token_for") or name in found[0].f[-1].before
+    masked = secrets.redact(secrets.scan(docs(spark, list(cases)), [secrets.RULE], WORDS)).orderBy("doc_id").collect()
+    assert masked[0].text == f'{name} = "<secret>"'
+
+
+def test_marks_in_a_text_stay_as_they_are(spark):
+    odd = '\ufdd0\ufdd1 token = "\ufdd1a1\ufdd00" \ufdd3://u:p1\ufdd2@host \ufdd0'
+    (row,) = docs(spark, [odd]).select(secrets.findings_of(F.col("text")).alias("f")).collect()
+    assert [f.value for f in row.f] == ["\ufdd1a1\ufdd00", "p1\ufdd2"]
+    scanned = secrets.scan(docs(spark, [odd]), [secrets.RULE], WORDS)
+    assert secrets.redact(scanned).first().text == '\ufdd0\ufdd1 token = "<secret>" \ufdd3://u:<secret>@host \ufdd0'
+
+
+def test_time_grows_with_the_candidates_and_not_their_square(spark, trees):
+    def seconds(text):
+        import time
+
+        frame = secrets.scan(docs(spark, [text]), trees, WORDS).select(F.size("findings").alias("n"))
+        start = time.perf_counter()
+        assert frame.first().n > 0
+        return time.perf_counter() - start
+
+    def tokens(n):
+        return " ".join(f'some words and token{i} = "{KEY[i % 9:]}{i}" then' for i in range(n))
+
+    seconds(tokens(100))
+    few, many = (min(seconds(tokens(n)) for _ in range(3)) for n in (100, 400))
+    assert many < 6 * few + 0.2
+    # Texts of 400,000 characters that tempt every part of the pattern.
+    for text in ("token" * 80_000, "token " * 66_000, "x://" * 100_000, 'token="' * 57_000, "a" * 400_000, "://a:" * 80_000):
+        assert seconds(f"{text} {KEY}") < 20
+
+
+def test_repeated_rows_and_ties_are_judged_alike(spark, trees):
+    text = f'token = "{KEY}" and {KEY} or {KEY}'
+    rows = secrets.scan(docs(spark, [text, text], [1, 1]), trees, WORDS).collect()
+    assert rows[0].findings == rows[1].findings and len(rows[0].findings) == 3
+
+
+def test_sample_is_the_first_rows_by_hash(spark):
+    from barloom.llm.sampling import first_by_hash
+
+    df = spark.range(20_000, numPartitions=7)
+    hashed = F.xxhash64("id")
+    expected = [r.id for r in df.orderBy(hashed, "id").limit(100).collect()]
+    sample = first_by_hash(df, 100, hashed, F.col("id"))
+    assert [r.id for r in sample.collect()] == expected
+    assert "xxhash64" in sample._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+    same = spark.range(5000).select(F.lit(1).alias("id"))
+    assert first_by_hash(same, 10, hashed, F.col("id")).count() == 10
+    assert first_by_hash(same, 9000, hashed).count() == 5000
