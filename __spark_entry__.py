@@ -120,12 +120,48 @@ def supplier_latest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
     )
-    # Line numbers repeat within an order, so the price settles what is left.
-    order = ("ts", "l_orderkey", "l_linenumber", "price")
+    # Line numbers repeat within an order, so the price settles what is left. Ship dates
+    # are whole days, so time takes no room in the key of a daily bar.
+    order = bl.PackedOrder(
+        [
+            bl.OrderField("l_orderkey", 0, 1 << 33),
+            bl.OrderField("l_linenumber", 0, 7),
+            bl.OrderField("price", 0, 1_000_000, scale=100),
+        ],
+        microseconds=86_400_000_000,
+    )
     frames = [bl.Timeframe("1W", "1w", 604_800), "1D"]
     return bl.latest_from_trades(trades, timeframes=frames, limit=100, order_by=order)
 
 
+def tied_bars_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All timeframes by time and event number in one wide key: microseconds need decimals."""
+    events = _table(spark, sf_dir, "events")
+    size = F.get_json_object("props", "$.k")
+    trades = bl.as_trades(events, "event_type", "ts", "value", size, "event_id")
+    return bl.bars(trades, order_by=bl.PackedOrder([bl.OrderField("event_id", 0, 10**15)]))
+
+
+def bar_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bars each series has on each day."""
+    return bl.bar_histogram(_trades(spark, sf_dir))
+
+
+def histogram_latest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 100 short bars, from no older trades than a stored histogram asks for."""
+    trades, path = _trades(spark, sf_dir), scratch_folder(spark, "histogram")
+    bl.bar_histogram(trades).write.parquet(path)
+    histogram = spark.read.schema("symbol string, timeframe string, span timestamp_ntz, bars long").parquet(path)
+    return bl.latest_from_trades(trades, timeframes=["1H", "15M", "5M"], limit=100, histogram=histogram)
+
+
+def exact_volume_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of fractions that have the same bits however the trades are dealt."""
+    size = F.floor(F.col("value") * 1024) / 1024
+    trades = bl.as_trades(_table(spark, sf_dir, "events"), "event_type", "ts", "value", size)
+    return bl.bars(trades, exact_volume=True)
+
+
 def raw_bars_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.name_bars(_raw(_latest(spark, sf_dir)))
 
@@ -387,6 +423,10 @@ def bar_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         zoned_bars,
         custom_timeframes,
         supplier_latest_bars,
+        tied_bars_packed,
+        bar_histogram,
+        histogram_latest_bars,
+        exact_volume_bars,
         raw_bars_named,
         raw_bar_scan,
         raw_latest_100,
@@ -555,6 +595,12 @@ from lines"""
         "tied_bars": _select("true"),
         "zoned_bars": _select("true"),
         "custom_timeframes": _select("true", _BARS.replace(_TF, _CUSTOM_TF)),
+        "tied_bars_packed": _select("true"),
+        "bar_histogram": f"""{_BARS}
+select symbol, timeframe, date_trunc('day', "timestamp")::timestamp as span, count(*) as bars from bars group by all""",
+        "histogram_latest_bars": _select("newest <= 100 and timeframe in ('1H', '15M', '5M')"),
+        "exact_volume_bars": _select("true", _BARS.replace(
+            "sum(cast(json_extract_string(props, '$.k') as double))", "sum(floor(value * 1024) / 1024)")),
         "supplier_latest_bars": _select("newest <= 100", _SUPPLIERS),
         "raw_bars_named": latest,
         "raw_bar_scan": _select("newest <= 500 and timeframe in ('4H', '5M')"),

@@ -7,10 +7,12 @@ from barloom.functions.text import (
     stamp_text,
     with_number_texts,
 )
+from barloom.functions.order_keys import OrderField, PackedOrder
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, section_no, with_timeframe_info
 from barloom.functions.timestamps import epoch_ms_to_timestamp, timestamp_to_epoch_ms
 from barloom.operators.bars import bars, roll_up
 from barloom.operators.concat import concat_timeframes, order_bars
+from barloom.operators.histogram import bar_histogram, newest_bounds, newest_trades
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
 from barloom.operators.naming import name_bars, newest_pulls
 from barloom.operators.select import select_symbols, select_timeframes
@@ -28,9 +30,12 @@ from barloom.sources.trades import as_trades
 
 __all__ = [
     "DEFAULT_LIMIT",
+    "OrderField",
+    "PackedOrder",
     "TIMEFRAMES",
     "Timeframe",
     "as_trades",
+    "bar_histogram",
     "bars",
     "clean_symbol",
     "concat_timeframes",
@@ -41,7 +46,9 @@ __all__ = [
     "latest_from_raw",
     "latest_from_trades",
     "name_bars",
+    "newest_bounds",
     "newest_pulls",
+    "newest_trades",
     "number_text",
     "order_bars",
     "read_bars",

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from barloom.functions.exact_sums import limb_names, limb_sums, with_total
+from barloom.functions.order_keys import PackedOrder
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, resolve
 from barloom.functions.timestamps import (
     bucket_start,
@@ -25,7 +27,8 @@ _MOST_BASE_BARS = 1_000  # of one symbol and longest interval brought together u
 def bars(
     trades: DataFrame,
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
-    order_by: str | Sequence[str] = "ts",
+    order_by: str | Sequence[str] | PackedOrder = "ts",
+    exact_volume: bool = False,
 ) -> DataFrame:
     """Build one bar per symbol, timeframe and interval that saw a trade.
 
@@ -35,7 +38,11 @@ def bars(
     first and last. It must be unique within a symbol for a repeatable open and
     close: keep ``ts`` if it is, name a rising trade number if there is one (one
     plain column keeps the aggregate hash-based), or pass both,
-    ``("ts", "trade_id")`` (correct but sort-based).
+    ``("ts", "trade_id")`` (correct but sort-based), or a ``PackedOrder`` of columns
+    with declared ranges (correct and hash-based).
+
+    With ``exact_volume`` the volume is the exact sum, rounded once, and so has the same
+    bits however the trades are partitioned; see ``functions.exact_sums`` for its range.
 
     Trades are read and shuffled once, as bars of the greatest common interval:
     every task reduces its rows to one per symbol and interval first, so a hot
@@ -44,27 +51,36 @@ def bars(
     """
     frames = resolve(timeframes)
     base = Timeframe("base", "base", math.gcd(*[frame.seconds for frame in frames]))
-    base_bars = _base_bars(trades, base.seconds, order_by)
+    base_bars = _base_bars(trades, base.seconds, order_by, exact_volume)
     if len(frames) == 1:
+        if exact_volume:
+            base_bars = with_total(base_bars, "volume")
         return base_bars.select(
             "symbol", F.lit(frames[0].label).alias("timeframe"), "timestamp", *MEASURES
         )
-    return roll_up(base_bars, frames, base)
+    return _rolled_up(base_bars, frames, base, exact_volume)
 
 
-def _base_bars(trades: DataFrame, seconds: int, order_by: str | Sequence[str]) -> DataFrame:
-    keys = [f"`{key}`" for key in ([order_by] if isinstance(order_by, str) else order_by)]
-    order = keys[0] if len(keys) == 1 else f"struct({', '.join(keys)})"
+def _base_bars(
+    trades: DataFrame, seconds: int, order_by: str | Sequence[str] | PackedOrder, exact_volume: bool
+) -> DataFrame:
     # A zoned column is bucketed as the instant it is; only the few bar starts
     # are turned into zone-less UTC, after the aggregation.
     zoned = isinstance(trades.schema["ts"].dataType, TimestampType)
     start = F.col("start")
+    rows = trades.where(F.col("price").isNotNull()).withColumn("start", bucket_start(F.col("ts"), seconds))
+    if isinstance(order_by, PackedOrder):
+        # Read twice, so worked out once in a column of its own.
+        rows = rows.select("symbol", "start", "price", "size", order_by.column(seconds).alias("packed_order"))
+        order = "packed_order"
+    else:
+        keys = [f"`{key}`" for key in ([order_by] if isinstance(order_by, str) else order_by)]
+        order = keys[0] if len(keys) == 1 else f"struct({', '.join(keys)})"
+    volumes = limb_sums("volume", "size") if exact_volume else [_volume("size")]
     return (
-        trades.where(F.col("price").isNotNull())
-        .withColumn("start", bucket_start(F.col("ts"), seconds))
-        .groupBy("symbol", "start")
-        .agg(*_measures("price", "price", "price", "price", "size", order, order))
-        .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *MEASURES)
+        rows.groupBy("symbol", "start")
+        .agg(*_prices("price", "price", "price", "price", order, order), *volumes)
+        .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *_PRICES, *_volumes(exact_volume))
     )
 
 
@@ -79,8 +95,14 @@ def roll_up(
     open and close come from the earliest and latest base bar that has one.
     Null cells are skipped, so a bar is null only where all its base bars are.
     """
-    frames = resolve(timeframes)
     (base,) = resolve([base])
+    return _rolled_up(base_bars, resolve(timeframes), base, False)
+
+
+def _rolled_up(
+    base_bars: DataFrame, frames: Sequence[Timeframe], base: Timeframe, exact_volume: bool
+) -> DataFrame:
+    """Base bars of limb sums in place of volumes are added up exactly."""
     for frame in frames:
         if frame.seconds % base.seconds:
             raise ValueError(f"{frame.label} is not a whole multiple of {base.label}")
@@ -95,7 +117,7 @@ def roll_up(
     nested = all(longest % frame.seconds == 0 for frame in frames)
     nested = nested and longest // base.seconds <= _MOST_BASE_BARS
     at = timestamp_to_epoch_us(F.col("timestamp"))
-    rows = base_bars.select("symbol", *MEASURES, at.alias("at"))
+    rows = base_bars.select("symbol", *_PRICES, *_volumes(exact_volume), at.alias("at"))
     keys = ["symbol", "section", "start"]
     if nested:
         rows = rows.withColumn("span", F.expr(_floor(longest))).repartition("symbol", "span")
@@ -106,17 +128,20 @@ def roll_up(
         for i, frame in enumerate(frames)
     )
     labels = F.array(*[F.lit(frame.label) for frame in frames])
-    return (
+    volumes = limb_sums("volume") if exact_volume else [_volume("volume")]
+    built = (
         rows.select("*", F.expr(f"inline(array({targets}))"))
         .groupBy(*keys)
-        .agg(*_measures("open", "high", "low", "close", "volume", _AT_OPEN, _AT_CLOSE))
+        .agg(*_prices("open", "high", "low", "close", _AT_OPEN, _AT_CLOSE), *volumes)
         .select(
             "symbol",
             F.get(labels, F.col("section")).alias("timeframe"),
             epoch_us_to_timestamp(F.col("start")).alias("timestamp"),
-            *MEASURES,
+            *_PRICES,
+            *_volumes(exact_volume),
         )
     )
+    return with_total(built, "volume") if exact_volume else built
 
 
 # A null order leaves a row out, and stays a long: the aggregate is still hash-based.
@@ -124,15 +149,23 @@ _AT_OPEN = "if(open is null, null, at)"
 _AT_CLOSE = "if(close is null, null, at)"
 
 
-def _measures(
-    opens: str, highs: str, lows: str, closes: str, volumes: str, first: str, last: str
-) -> list[Column]:
+_PRICES = MEASURES[:-1]
+
+
+def _volumes(exact: bool) -> list[str]:
+    return limb_names("volume") if exact else ["volume"]
+
+
+def _volume(sizes: str) -> Column:
+    return F.expr(f"sum({sizes}) as volume")
+
+
+def _prices(opens: str, highs: str, lows: str, closes: str, first: str, last: str) -> list[Column]:
     return [
         F.expr(f"min_by({opens}, {first}) as open"),
         F.expr(f"max({highs}) as high"),
         F.expr(f"min({lows}) as low"),
         F.expr(f"max_by({closes}, {last}) as close"),
-        F.expr(f"sum({volumes}) as volume"),
     ]
 
 

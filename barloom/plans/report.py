@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from barloom.functions.order_keys import PackedOrder
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe
 from barloom.operators.bars import bars
+from barloom.operators.histogram import newest_trades
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
 from barloom.operators.naming import name_bars, newest_pulls
 from barloom.operators.select import select_symbols, select_timeframes
@@ -19,12 +21,20 @@ def latest_from_trades(
     symbols: Sequence[str] | None = None,
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
     limit: int = DEFAULT_LIMIT,
-    order_by: str | Sequence[str] = "ts",
+    order_by: str | Sequence[str] | PackedOrder = "ts",
+    histogram: DataFrame | None = None,
+    exact_volume: bool = False,
 ) -> DataFrame:
-    """Newest bars of every symbol and timeframe, built from trades."""
+    """Newest bars of every symbol and timeframe, built from trades.
+
+    With the trades' ``bar_histogram`` only trades are scanned that the newest bars may need.
+    """
     if symbols is not None:
         trades = select_symbols(trades, symbols)
-    return latest_bars(bars(trades, timeframes, order_by), limit)
+        histogram = histogram if histogram is None else select_symbols(histogram, symbols)
+    if histogram is not None:
+        trades = newest_trades(trades, histogram, limit, timeframes)
+    return latest_bars(bars(trades, timeframes, order_by, exact_volume), limit)
 
 
 def latest_from_raw(
@@ -49,7 +59,7 @@ def report_from_trades(
     symbols: Sequence[str] | None = None,
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
     limit: int = DEFAULT_LIMIT,
-    order_by: str | Sequence[str] = "ts",
+    order_by: str | Sequence[str] | PackedOrder = "ts",
     footer_lines: Sequence[str] = (),
 ) -> None:
     """Write a document per symbol from trades, reading them once."""
