@@ -63,7 +63,13 @@ def newest_bounds(histogram: DataFrame, limit: int) -> DataFrame:
     return counted.where(F.col("newer") < limit).groupBy("symbol", "timeframe").agg(F.min("span").alias("since"))
 
 
-def newest_trades(trades: DataFrame, histogram: DataFrame, limit: int, timeframes: Sequence[str | Timeframe] = TIMEFRAMES) -> DataFrame:
+def newest_trades(
+    trades: DataFrame,
+    histogram: DataFrame,
+    limit: int,
+    timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
+    day: str | None = None,
+) -> DataFrame:
     """The trades that the newest ``limit`` bars of every series may need, and few others.
 
     The bounds become one filter of constants on ``ts`` and ``symbol``, which goes to the
@@ -71,6 +77,11 @@ def newest_trades(trades: DataFrame, histogram: DataFrame, limit: int, timeframe
     ``QUIET_SYMBOLS`` symbols whose bounds are earliest, and asks all others for trades
     from the next bound on; so a few symbols that hardly trade do not hold up the rest. The
     driver sees those symbols and bounds, never more.
+
+    Spark skips Parquet row groups by zoned times stored as microseconds, and by dates, but
+    neither by zone-less times nor by the older 96-bit form. For tables of those name a
+    column ``day``, the UTC date of ``ts``, which gets the same bounds. As a partition column
+    it prunes to the earliest bound only, as partitions do not tell symbols apart.
     """
     wanted = histogram.where(F.col("timeframe").isin([frame.label for frame in resolve(timeframes)]))
     bounds = newest_bounds(wanted, limit).groupBy("symbol").agg(F.min("since").alias("since"))
@@ -82,7 +93,8 @@ def newest_trades(trades: DataFrame, histogram: DataFrame, limit: int, timeframe
     def since(bound) -> Column:
         micros = timestamp_to_epoch_us(F.lit(bound).cast("timestamp_ntz"))
         at = F.timestamp_micros(micros) if zoned else epoch_us_to_timestamp(micros)
-        return F.col("ts") >= at
+        later = F.col("ts") >= at
+        return later if day is None else later & (F.col(day) >= F.lit(bound.date()))
 
     cut = earliest[-1].since
     by_bound: dict = {}
