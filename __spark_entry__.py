@@ -363,6 +363,64 @@ def replaced_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.read_bars(spark, path)
 
 
+def versioned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a bucketed table: all symbols, then one of them again."""
+    path = scratch_folder(spark, "versions")
+    bl.write_version(_latest(spark, sf_dir), path, buckets=4)
+    again = bl.latest_from_trades(_trades(spark, sf_dir), ["click"], ["1D", "1H"], limit=100)
+    bl.write_version(again, path, replace="symbols")
+    return bl.read_version(spark, path)
+
+
+def versioned_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol's buckets of the first of two versions."""
+    path = scratch_folder(spark, "versions")
+    bl.write_version(_latest(spark, sf_dir), path, buckets=4)
+    bl.write_version(_latest(spark, sf_dir, 10), path)
+    return bl.read_version(spark, path, version=1, symbols=["click"])
+
+
+def bars_of_symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' bars for the symbols that another table names: those of a low balance."""
+    names = _table(spark, sf_dir, "supplier").where("s_acctbal < 5000").select(F.col("s_suppkey").cast("string").alias("symbol"))
+    lines = _table(spark, sf_dir, "lineitem")
+    trades = bl.as_trades(lines, F.col("l_suppkey").cast("string"), "l_shipdate", "l_extendedprice", "l_quantity", "l_orderkey")
+    order = bl.PackedOrder(
+        [bl.OrderField("l_orderkey", 0, 1 << 33), bl.OrderField("price", 0, 1_000_000, scale=100)], microseconds=86_400_000_000
+    )
+    return bl.bars(bl.select_symbols(trades, names), ["1D"], order_by=order)
+
+
+def _landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw bars landed as lines: every 7th hour has a value too many, some lines are broken."""
+    path = scratch_folder(spark, "landed")
+    raw = _raw(bl.bars(_trades(spark, sf_dir), ["1D", "1H"]))
+    bars = F.transform("ohlcv", lambda bar: F.when((bar[0] / 3_600_000) % 7 == 0, F.concat(bar, F.array(F.lit(0.0)))).otherwise(bar))
+    good = raw.select(F.to_json(F.struct("symbol", "timeframe", bars.alias("ohlcv"))).alias("value"))
+    broken = F.explode(F.array(
+        F.substring("value", 1, 40),
+        F.replace("value", F.lit('"symbol"'), F.lit('"name"')),
+        F.lit("  "),
+    ))
+    good.union(good.where("value like '%\"1D\"%'").select(broken)).write.text(path)
+    return bl.read_raw_lines(spark, path)
+
+
+def raw_lines_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named bars of landed lines, without those that cannot be read."""
+    return bl.name_bars(bl.good_raw(_landed_lines(spark, sf_dir)))
+
+
+def raw_lines_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records were left out, for each reason, and the hours of bars too long."""
+    rejects = bl.raw_rejects(_landed_lines(spark, sf_dir))
+    bar = F.from_json("record", "symbol string, timeframe string, ohlcv array<double>")
+    rows = rejects.select("reason", F.when(F.col("reason").startswith("a bar"), bar).alias("bar"))
+    return rows.groupBy("reason", F.col("bar.symbol").alias("symbol"), F.col("bar.timeframe").alias("timeframe")).agg(
+        F.count("*").alias("records"), F.coalesce(F.min(F.get("bar.ohlcv", 0)).cast("long"), F.lit(-1)).alias("first_ms")
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The newest 500 bars per symbol at five timeframes, from the smallest tables."""
     return mtf_latest_bars(spark, "/root/testdata/sf0.001")
@@ -449,6 +507,11 @@ def bar_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stored_timeframes,
         concat_timeframes,
         replaced_symbols,
+        versioned_bars,
+        versioned_symbol,
+        bars_of_symbol_table,
+        raw_lines_named,
+        raw_lines_rejected,
     ]
     single = {f"bars_{frame.label.lower()}": _bars_of(frame.label) for frame in bl.TIMEFRAMES}
     return {query.__name__: query for query in named} | single
@@ -635,5 +698,20 @@ from orders""",
             "case when symbol = 'click' then timeframe in ('1D', '1H') and newest <= 100"
             " else newest <= 500 end"
         ),
+        "versioned_symbol": _select("newest <= 500 and symbol = 'click'"),
+        "bars_of_symbol_table": """
+select l_suppkey::varchar as symbol, '1D' as timeframe, date_trunc('day', l_shipdate)::timestamp as "timestamp",
+       first(l_extendedprice order by l_orderkey, l_extendedprice) as open, max(l_extendedprice) as high,
+       min(l_extendedprice) as low, last(l_extendedprice order by l_orderkey, l_extendedprice) as close,
+       sum(l_quantity) as volume
+from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal < 5000) group by 1, 2, 3""",
+        "raw_lines_named": _select("timeframe in ('1D', '1H') and epoch_us(\"timestamp\") // 3600000000 % 7 <> 0"),
+        "raw_lines_rejected": f"""{_BARS}
+select 'a bar of 7 values' as reason, symbol, timeframe, count(*) as records, min(epoch_us("timestamp") // 1000)::bigint as first_ms
+from bars where timeframe in ('1D', '1H') and epoch_us("timestamp") // 3600000000 % 7 = 0 group by all
+union all
+select reason, null, null, count(distinct symbol), -1
+from bars cross join (values ('not a raw bar record'), ('no symbol')) r(reason) group by 1""",
     }
+    sql["versioned_bars"] = sql["replaced_symbols"]
     return sql

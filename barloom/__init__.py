@@ -24,7 +24,8 @@ from barloom.plans.report import (
 )
 from barloom.sinks.documents import document_lines, write_documents
 from barloom.sinks.tables import write_bars
-from barloom.sources.raw_bars import read_raw_bars
+from barloom.sinks.versions import drop_versions, read_version, versions, write_version
+from barloom.sources.raw_bars import good_raw, raw_rejects, read_raw_bars, read_raw_lines
 from barloom.sources.stored_bars import read_bars
 from barloom.sources.trades import as_trades
 
@@ -41,7 +42,9 @@ __all__ = [
     "concat_timeframes",
     "document_lines",
     "document_name",
+    "drop_versions",
     "epoch_ms_to_timestamp",
+    "good_raw",
     "latest_bars",
     "latest_from_raw",
     "latest_from_trades",
@@ -51,8 +54,11 @@ __all__ = [
     "newest_trades",
     "number_text",
     "order_bars",
+    "raw_rejects",
     "read_bars",
     "read_raw_bars",
+    "read_raw_lines",
+    "read_version",
     "report_from_raw",
     "report_from_trades",
     "roll_up",
@@ -61,8 +67,10 @@ __all__ = [
     "select_timeframes",
     "stamp_text",
     "timestamp_to_epoch_ms",
+    "versions",
     "with_number_texts",
     "with_timeframe_info",
     "write_bars",
     "write_documents",
+    "write_version",
 ]

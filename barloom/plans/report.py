@@ -18,7 +18,7 @@ from barloom.sinks.documents import write_documents
 
 def latest_from_trades(
     trades: DataFrame,
-    symbols: Sequence[str] | None = None,
+    symbols: Sequence[str] | DataFrame | None = None,
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
     limit: int = DEFAULT_LIMIT,
     order_by: str | Sequence[str] | PackedOrder = "ts",

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
 
-from barloom import latest_from_raw, name_bars, read_raw_bars
+from barloom import good_raw, latest_from_raw, name_bars, raw_rejects, read_raw_bars, read_raw_lines
 from barloom.sources.schemas import BAR_COLUMNS
 from tests.fixtures import collected, plan_of, stamp
 
@@ -86,3 +87,58 @@ def test_latest_from_raw(spark, tmp_path):
     raw = read_raw_bars(spark, land(tmp_path, RECORDS))
     kept = latest_from_raw(raw, symbols=["AAA/BBB"], limit=1)
     assert collected(kept) == sorted(NAMED[1:], key=repr)
+
+
+LINES = [
+    '{"symbol": "A", "timeframe": "1D", "ohlcv": [[0, 1, 2, 0.5, 1.5, 9], [86400000, 1, 2, 0.5, 1.5, 9, 7]], "pulled_at": 5}',
+    '{"symbol": "A", "timeframe": "1H", "ohlcv": [[0, 1, 2], null, []]}',
+    '{"symbol": "B", "timeframe": "1D", "ohlcv": null, "more": {"x": 1}}',
+    '{"symbol": "B", "timeframe": "1D", "ohlcv": [[0, 1, 2, 3, 4, "x"]]}',
+    '{"symbol": "B", "timeframe": "1D", "ohlcv": [[0, 1',
+    "not json at all",
+    '["an", "array"]',
+    '{"timeframe": "1D", "ohlcv": []}',
+    '{"symbol": "C", "ohlcv": []}',
+    "   ",
+    "",
+]
+
+
+def landed(spark, tmp_path, lines=LINES, **more):
+    (tmp_path / "raw.json").write_text("\n".join(lines) + "\n")
+    return read_raw_lines(spark, str(tmp_path / "raw.json"), **more)
+
+
+def test_lines_that_cannot_be_read_are_given_out_with_a_reason(spark, tmp_path):
+    lines = landed(spark, tmp_path)
+    rejected = Counter((r.reason, r.record) for r in raw_rejects(lines).collect())
+    broken = "not a raw bar record"
+    assert rejected == Counter([
+        *[(broken, LINES[i]) for i in (3, 4, 5, 6)], ("no symbol", LINES[7]), ("no timeframe", LINES[8]),
+        ("a bar of 7 values", '{"symbol":"A","timeframe":"1D","ohlcv":[8.64E7,1.0,2.0,0.5,1.5,9.0,7.0]}'),
+    ])
+    good = {(r.symbol, r.timeframe): (r.ohlcv, r.pulled_at) for r in good_raw(lines).collect()}
+    assert good == {
+        ("A", "1D"): ([[0, 1, 2, 0.5, 1.5, 9]], 5), ("A", "1H"): ([[0, 1, 2], None, []], None), ("B", "1D"): (None, None),
+    }
+    assert name_bars(good_raw(lines)).count() == 4
+
+
+def test_good_lines_read_as_before(spark, tmp_path):
+    lines = landed(spark, tmp_path, LINES[1:3])
+    assert good_raw(lines).collect() == read_raw_bars(spark, str(tmp_path / "raw.json")).collect()
+    assert raw_rejects(lines).count() == 0
+    assert good_raw(lines).schema == read_raw_bars(spark, str(tmp_path / "raw.json")).schema
+
+
+def test_filters_keep_every_rejected_line(spark, tmp_path):
+    lines = landed(spark, tmp_path, symbols=["A"], timeframes=["1H"])
+    assert [(r.symbol, r.timeframe) for r in good_raw(lines).collect()] == [("A", "1H")]
+    assert raw_rejects(lines).count() == 6
+    plan = plan_of(good_raw(lines))
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_no_lines(spark, tmp_path):
+    lines = landed(spark, tmp_path, [""])
+    assert good_raw(lines).count() == raw_rejects(lines).count() == 0

@@ -1,0 +1,155 @@
+"""Versions of bar tables: bounded files, skipped row groups, and nothing half replaced."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from barloom import drop_versions, read_version, versions, write_version
+from barloom.sinks import versions as module
+from barloom.sources.schemas import BAR_COLUMNS
+from tests.fixtures import bar_table, collected
+
+
+def rows(symbol, timeframe="1D", days=(1, 2, 3), close=1.0):
+    return [(symbol, timeframe, f"2024-01-0{d}", 1.0, 2.0, 0.5, close, 10.0 * d) for d in days]
+
+
+def table(spark, *parts):
+    return bar_table(spark, [r for part in parts for r in part])
+
+
+def many(spark, count):
+    return spark.range(count * 2).select(
+        F.concat(F.lit("S"), F.floor(F.col("id") / 2)).alias("symbol"), F.lit("1D").alias("timeframe"),
+        F.timestamp_add("DAY", (F.col("id") % 2).cast("int"), F.expr("timestamp_ntz'2024-01-01'")).alias("timestamp"),
+        *[F.lit(1.0).alias(name) for name in BAR_COLUMNS[3:]],
+    )
+
+
+def test_round_trip_and_history(spark, tmp_path):
+    root = str(tmp_path)
+    first = table(spark, rows("A"), rows("B/C"), rows("Ü x", "5M"), rows(None))
+    assert write_version(first, root, buckets=3) == 1
+    assert collected(read_version(spark, root)) == collected(first)
+    second = table(spark, rows("A", days=(4,)))
+    assert write_version(second, root) == 2
+    assert collected(read_version(spark, root)) == collected(second)
+    assert collected(read_version(spark, root, version=1)) == collected(first)
+    assert versions(spark, root) == [1, 2]
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, root, version=7)
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, str(tmp_path / "none"))
+
+
+def test_replacing_symbols_keeps_the_others(spark, tmp_path):
+    root = str(tmp_path)
+    write_version(table(spark, *[rows(f"S{i}") for i in range(20)], rows(None)), root, buckets=4)
+    # A section that the new data lacks goes, a new symbol comes, a null symbol is one too.
+    new = table(spark, rows("S3", "1H", (5,)), rows("NEW"), rows(None, close=9.0))
+    write_version(new, root, replace="symbols", buckets=99)
+    expected = table(spark, *[rows(f"S{i}") for i in range(20) if i != 3]).union(new)
+    assert collected(read_version(spark, root)) == collected(expected)
+    assert json.loads((tmp_path / "manifests/2.json").read_text())["buckets"] == 4
+
+
+def test_untouched_buckets_stay_where_they_are(spark, tmp_path):
+    root = str(tmp_path)
+    write_version(table(spark, *[rows(f"S{i}") for i in range(50)]), root, buckets=8)
+    write_version(table(spark, rows("S7", days=(9,))), root, replace="symbols")
+    folders = [json.loads((tmp_path / f"manifests/{n}.json").read_text())["folders"] for n in (1, 2)]
+    changed = [b for b in folders[0] if folders[0][b] != folders[1][b]]
+    assert len(changed) == 1 and folders[0].keys() == folders[1].keys()
+
+
+def test_a_failing_run_leaves_the_old_version_whole(spark, tmp_path):
+    root = str(tmp_path)
+    old = table(spark, *[rows(f"S{i}") for i in range(12)])
+    write_version(old, root, buckets=6)
+    broken = table(spark, *[rows(f"S{i}", close=2.0) for i in range(12)]).withColumn(
+        "close", F.when(F.col("symbol") == "S11", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("close")))
+    for replace in ("symbols", "table"):
+        with pytest.raises(Exception, match="lost"):
+            write_version(broken, root, replace=replace)
+        assert versions(spark, root) == [1] and collected(read_version(spark, root)) == collected(old)
+    assert write_version(table(spark, rows("S1", days=(8,))), root, replace="symbols") == 2
+    assert read_version(spark, root).count() == 11 * 3 + 1
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    write_version(table(spark, rows("A")), root)
+    one = table(spark, rows("A", days=(5,)))
+    before = module._manifest(spark, root)
+    write_version(one, root)
+    monkeypatch.setattr(module, "_manifest", lambda *a: before)  # as a writer that started at the same time sees it
+    with pytest.raises(RuntimeError, match="another run"):
+        write_version(table(spark, rows("B")), root)
+    monkeypatch.undo()
+    assert collected(read_version(spark, root)) == collected(one)
+
+
+def test_an_unfinished_manifest_is_passed_over(spark, tmp_path):
+    root = str(tmp_path)
+    write_version(table(spark, rows("A")), root)
+    (tmp_path / "manifests/2.json").write_text('{"version": 2, "buck')
+    assert read_version(spark, root).count() == 3
+
+
+def test_old_versions_and_leftovers_are_dropped(spark, tmp_path):
+    root = str(tmp_path)
+    for day in (1, 2, 3):
+        write_version(table(spark, rows("A", days=(day,)), rows(f"B{day}")), root, replace="symbols", buckets=2)
+    (tmp_path / "data/9-left").mkdir()
+    drop_versions(spark, root, keep=2)
+    assert versions(spark, root) == [2, 3]
+    assert not (tmp_path / "data/9-left").exists()
+    assert read_version(spark, root).count() == 1 + 9 and read_version(spark, root, 2).count() == 1 + 6
+    with pytest.raises(ValueError):
+        drop_versions(spark, root, keep=0)
+
+
+def test_many_symbols_give_few_files_and_one_is_found_in_few_rows(spark, tmp_path, conf):
+    root, count = str(tmp_path), 100_000
+    conf("parquet.block.size", "65536")
+    write_version(many(spark, count), root, buckets=8)
+    files = list(Path(root).glob("data/*/*/*.parquet"))
+    assert 8 <= len(files) <= 64
+    conf("spark.sql.adaptive.enabled", "false")
+    found = read_version(spark, root, symbols=["S777"])
+    assert found.count() == 2
+    found.collect()
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    scanned = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert scanned < count * 2 / 8
+    assert read_version(spark, root, symbols=[]).count() == 0
+    assert read_version(spark, root, symbols=["none"]).count() == 0
+
+
+def test_files_carry_bloom_filters_on_the_symbol(spark, tmp_path, conf):
+    sizes = {}
+    for enabled in ("true", "false"):
+        # Names are no dictionary here, or the writer would rely on that.
+        conf("parquet.enable.dictionary", "false")
+        root = tmp_path / enabled
+        if enabled == "true":
+            write_version(many(spark, 5000), str(root), buckets=1)
+        else:
+            many(spark, 5000).sort("symbol").coalesce(1).write.parquet(str(root))
+        (file,) = root.rglob("*.parquet")
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        # What a file holds beyond its columns: the footer, and the filters.
+        sizes[enabled] = file.stat().st_size - sum(group.column(i).total_compressed_size for i in range(group.num_columns))
+    assert sizes["true"] > sizes["false"] + 2000
+
+
+def test_empty_tables(spark, tmp_path):
+    write_version(bar_table(spark, []), str(tmp_path))
+    assert read_version(spark, str(tmp_path)).count() == 0
+    write_version(table(spark, rows("A")), str(tmp_path), replace="symbols")
+    assert read_version(spark, str(tmp_path)).count() == 3
