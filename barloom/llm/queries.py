@@ -111,35 +111,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", "lang_pred", "score")
 
 
-_TOOL_ROWS = [
-    ("search", "limit", "integer", True),
-    ("search", "query", "string", True),
-    ("translate", "lang", "string", True),
-    ("translate", "text", "string", True),
-    ("count", "unit", "string", True),
-    ("count", "words", "integer", False),
-]
+#: The tools' arguments: name, key, kind, whether it must be there.
+_TOOLS = """values ('search', 'limit', 'integer', true), ('search', 'query', 'string', true),
+  ('translate', 'lang', 'string', true), ('translate', 'text', 'string', true),
+  ('count', 'unit', 'string', true), ('count', 'text', 'string', true), ('count', 'words', 'integer', false)"""
 
 
 def tool_calls(turns: DataFrame) -> DataFrame:
     """The assistant turns of ``conversations`` read as tool calls.
 
-    Tool, arguments and dependencies follow from the turn and its text: some arguments
-    lack a key, have one of another kind or one too many, and some calls depend on the
+    The whole text is an argument. Tool, other arguments and dependencies follow from the
+    turn and its text: some arguments lack a key, have one of another kind or one too many, and some calls depend on the
     assistant's next turn, so that order by turn is not enough.
     """
-    word, n = F.regexp_extract("text", "[A-Za-z]+", 0), F.length("text")
+    quoted, n = F.expr("substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)"), F.length("text")
     step = F.floor(F.col("turn") / 2) % 4
     search = F.concat(
-        F.lit('{ "query" : "'), word, F.lit('", "limit": '),
+        F.lit('{ "query" : '), quoted, F.lit(', "limit": '),
         F.when(n % 5 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string")), F.lit(" }"),
     )
     translate = F.concat(
-        F.lit('{"text":"'), word, F.when(n % 7 == 0, F.lit('"}')).otherwise(F.lit('", "lang":"en"}'))
+        F.lit('{"text":'), quoted, F.when(n % 7 == 0, F.lit("}")).otherwise(F.lit(', "lang":"en"}'))
     )
     count = F.concat(
         F.lit('{"words": '), n, F.when(n % 11 == 0, F.lit(', "more": [1, 2.50]')).otherwise(F.lit("")),
-        F.lit(', "unit": "word"}'),
+        F.lit(', "text": '), quoted, F.lit(', "unit": "word"}'),
     )
 
     def at(turn: F.Column) -> F.Column:
@@ -169,10 +165,11 @@ def tool_results(turns: DataFrame) -> DataFrame:
 
 
 def op8_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as tool exchanges: linked, ordered, checked, canonical JSON."""
+    """All turns of all conversations: calls linked, ordered, checked; other turns beside them."""
     turns = table(spark, sf_dir, "conversations")
-    schemas = spark.createDataFrame(_TOOL_ROWS, "name string, key string, kind string, required boolean")
-    return tool_chat.format_calls(tool_calls(turns), tool_results(turns), schemas)
+    schemas = spark.sql(_TOOLS).toDF("name", "key", "kind", "required")
+    messages = turns.where("role is null or role not in ('assistant', 'user')")
+    return tool_chat.format_chat(tool_calls(turns), tool_results(turns), messages, schemas)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
@@ -317,11 +314,10 @@ from reached left join sizes on sizes.doc_id = node group by node"""
 
 _TOOL_CHAT = """
 with recursive turns as (
-  select conv_id, turn, role, text, length(text) as n, regexp_extract(text, '[A-Za-z]+') as word,
-         (turn // 2) % 4 as step
+  select conv_id, turn, role, text, length(text) as n, to_json(text)::varchar as quoted, (turn // 2) % 4 as step
   from conversations),
 calls as (
-  select conv_id, turn, 'call-' || conv_id || '-' || turn as call_id, n, word,
+  select conv_id, turn, 'call-' || conv_id || '-' || turn as call_id, n, quoted,
          ['search', 'translate', 'count'][1 + turn % 3] as name,
          case step when 0 then [turn + 2] when 2 then [turn - 2, turn + 2] when 3 then [turn - 6]
               else [] end as needs
@@ -346,25 +342,34 @@ judged as (
                    else case when n % 11 = 0 then 'unknown:more' else '' end end as errors,
          case name
            when 'search' then
-             case when n % 5 = 0 then '{ "query" : "' || word || '", "limit": "' || n || '" }'
-                  else '{"limit":' || n || ',"query":"' || word || '"}' end
+             case when n % 5 = 0 then '{ "query" : ' || quoted || ', "limit": "' || n || '" }'
+                  else '{"limit":' || n || ',"query":' || quoted || '}' end
            when 'translate' then
-             case when n % 7 = 0 then '{"text":"' || word || '"}'
-                  else '{"lang":"en","text":"' || word || '"}' end
+             case when n % 7 = 0 then '{"text":' || quoted || '}'
+                  else '{"lang":"en","text":' || quoted || '}' end
            else
-             case when n % 11 = 0 then '{"words": ' || n || ', "more": [1, 2.50], "unit": "word"}'
-                  else '{"unit":"word","words":' || n || '}' end end as arguments
-  from calls join levels using (conv_id, turn) left join results using (conv_id, turn))
-select conv_id,
-       row_number() over (partition by conv_id order by level, turn) - 1 as position,
-       turn, call_id, name, level::integer as level,
-       case when result is null then 'pending' else 'linked' end as status,
-       errors = '' as valid, errors,
-       '{"arguments":' || case when errors = '' then arguments else to_json(arguments)::varchar end
-       || ',"id":"' || call_id || '","name":"' || name || '"'
-       || case when result is null then '' else ',"result":' || to_json(result)::varchar end
-       || ',"type":"function"}' as json
-from judged"""
+             case when n % 11 = 0 then '{"words": ' || n || ', "more": [1, 2.50], "text": ' || quoted || ', "unit": "word"}'
+                  else '{"text":' || quoted || ',"unit":"word","words":' || n || '}' end end as arguments
+  from calls join levels using (conv_id, turn) left join results using (conv_id, turn)),
+rows as (
+  select conv_id, level as place, turn, call_id, name, level::integer as level,
+         case when result is null then 'pending' else 'linked' end as status, errors,
+         '{"arguments":' || case when errors = '' then arguments else to_json(arguments)::varchar end
+         || ',"id":"' || call_id || '","name":"' || name || '"'
+         || case when result is null then '' else ',"result":' || to_json(result)::varchar end
+         || ',"type":"function"}' as json
+  from judged
+  union all
+  select conv_id, 1000000, turn, 'call-' || conv_id || '-' || (turn - 1), null, -1, 'orphan', '',
+         '{"content":' || quoted || ',"id":"call-' || conv_id || '-' || (turn - 1) || '","type":"result"}'
+  from turns where role = 'user' and (conv_id, turn - 1) not in (select (conv_id, turn) from calls)
+  union all
+  select conv_id, -1, turn, null, null, -1, 'message', '',
+         '{"content":' || quoted || ',"role":"' || role || '","type":"message"}'
+  from turns where role not in ('user', 'assistant'))
+select conv_id, row_number() over (partition by conv_id order by place, turn) - 1 as position,
+       turn, call_id, name, level, status, errors = '' as valid, errors, json
+from rows"""
 
 
 _HARD_NEGATIVES = """

@@ -14,7 +14,8 @@ joins for each step of the longest chain of dependencies.
 Nulls and the like: a call without an identifier has no result and cannot be depended
 on; of calls (or results) that share one, the first by turn and content counts, and the
 others keep their rows as ``repeated``. Results nobody called for, and repeated ones, have
-no row among the calls; ``unlinked`` returns them. A
+no row in ``format_calls``; ``unlinked`` returns them, and ``format_chat`` keeps them and all
+other messages as rows of their own. Long texts are taken whole. A
 dependency that names no call is ignored, calls in a cycle come last and have no level.
 Arguments that are null or no JSON object are invalid, as is an unknown tool. Equal
 turns are ordered by identifier and arguments. Empty tables give empty results; columns
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from barloom.scratch import stored
 
 STRETCH = 256
-MAX_BROADCAST_TOOLS = 10_000
 
 #: JSON kinds of a schema, and the names that Spark's variant type gives them.
 KINDS = {
@@ -139,11 +139,20 @@ def argument_errors(arguments: Column, fields: Column) -> Column:
 
 
 def exchange_json(valid: Column) -> Column:
-    """One call and its result as canonical JSON; invalid arguments are kept as their text."""
+    """One row as canonical JSON: a call with its result, a result alone, or a message.
+
+    Invalid arguments are kept as their text.
+    """
     rest = [F.col("call_id").alias("id"), "name", "result", F.lit("function").alias("type")]
     as_object = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), *rest))
     as_text = F.to_json(F.struct("arguments", *rest))
-    return F.when(valid, as_object).otherwise(as_text)
+    content = F.col("result").alias("content")
+    alone = F.to_json(F.struct(content, F.col("call_id").alias("id"), F.lit("result").alias("type")))
+    message = F.to_json(F.struct(content, F.col("name").alias("role"), F.lit("message").alias("type")))
+    return (
+        F.when(F.col("part") == "result", alone).when(F.col("part") == "message", message)
+        .when(valid, as_object).otherwise(as_text)
+    )
 
 
 def positions(ordered: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def positions(ordered: DataFrame) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_level", "_stretch")) - F.col("_n")
     starts = counts.select(*[F.col(k).alias(f"{k}_") for k in keys], before.alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy("turn", "call_id", "name", "arguments")
+    inside = Window.partitionBy(*keys).orderBy("turn", "call_id", "name", "arguments", "result")
     same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     return (
         rows.withColumn("_in", F.row_number().over(inside) - 1)
@@ -171,14 +180,42 @@ def positions(ordered: DataFrame) -> DataFrame:
 
 def format_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: its place, level, status, errors and canonical JSON."""
+    return _formatted(_leveled(calls, results), schemas)
+
+
+def format_chat(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``format_calls`` with a row for everything else that was said.
+
+    ``messages`` has ``conv_id``, ``turn``, ``role`` and ``text``; they come first in their
+    conversation, by turn, with status ``message``. Results of no call and repeated ones
+    come last, with their status of ``unlinked``. Both have level -1 and no errors.
+    """
+    alone = unlinked(calls, results).select(
+        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
+        F.col("content").alias("result"), "status", F.lit("result").alias("part"), F.lit(None).cast("int").alias("level"),
+    )
+    said = messages.select(
+        "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.col("role").alias("name"),
+        F.lit(None).cast("string").alias("arguments"), F.col("text").alias("result"),
+        F.lit("message").alias("status"), F.lit("message").alias("part"), F.lit(-1).alias("level"),
+    )
+    return _formatted(_leveled(calls, results).unionByName(alone).unionByName(said), schemas)
+
+
+def _leveled(calls: DataFrame, results: DataFrame) -> DataFrame:
     linked = stored(link(calls, results), "linked")
-    tools = stored(tool_fields(schemas), "tools")
-    side = F.broadcast(tools) if tools.count() <= MAX_BROADCAST_TOOLS else tools
-    placed = positions(linked.join(levels(linked), ["conv_id", "call_id"], "left"))
-    level = F.when(F.col("status") != "repeated", F.col("level"))
-    checked = placed.join(side, "name", "left").withColumn("errors", argument_errors(F.col("arguments"), F.col("fields")))
+    rows = linked.join(levels(linked), ["conv_id", "call_id"], "left").drop("depends_on")
+    return rows.withColumn("part", F.lit("call"))
+
+
+def _formatted(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    is_call = F.col("part") == "call"
+    placed = positions(rows)
+    level = F.when(~is_call, -1).when(F.col("status") != "repeated", F.col("level"))
+    found = F.when(is_call, argument_errors(F.col("arguments"), F.col("fields"))).otherwise(F.array().cast("array<string>"))
+    checked = placed.join(tool_fields(schemas), "name", "left").withColumn("errors", found)
     valid = F.size("errors") == 0
     return checked.select(
-        "conv_id", "position", "turn", "call_id", "name", level.alias("level"), "status",
+        "conv_id", "position", "turn", "call_id", F.when(is_call, F.col("name")).alias("name"), level.alias("level"), "status",
         valid.alias("valid"), F.array_join("errors", ";").alias("errors"), exchange_json(valid).alias("json"),
     )

@@ -110,3 +110,55 @@ def test_results_without_a_call_of_their_own_are_returned(spark):
     assert sorted((r.status, str(r.call_id), r.content or "") for r in rows) == [
         ("orphan", "None", "nobody"), ("orphan", "i", ""), ("orphan", "lost", "x"), ("repeated", "i", "late"),
     ]
+
+
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
+def _chat(spark, calls, results=(), messages=()):
+    made = tool_chat.format_chat(
+        spark.createDataFrame(list(calls), CALLS), spark.createDataFrame(list(results), RESULTS),
+        spark.createDataFrame(list(messages), MESSAGES), spark.createDataFrame(TOOLS, SCHEMAS),
+    )
+    return sorted(made.collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, r.position))
+
+
+def test_everything_said_has_a_row(spark):
+    calls = [(1, 2, "i", "f", '{"a":2}', None), (1, 4, None, "f", "{}", None)]
+    results = [(1, 9, "i", "late"), (1, 3, "i", "early"), (1, 3, None, "nobody"), (1, 1, "lost", "x"), (2, 3, "i", None)]
+    messages = [(1, 0, "system", "be \"kind\""), (2, 5, None, "odd"), (1, 8, "developer", None)]
+    rows = _chat(spark, calls, results, messages)
+    assert [(r.conv_id, r.position, r.turn, r.status) for r in rows] == [
+        (1, 0, 0, "message"), (1, 1, 8, "message"), (1, 2, 2, "linked"), (1, 3, 1, "orphan"), (1, 4, 3, "orphan"),
+        (1, 5, 4, "pending"), (1, 6, 9, "repeated"), (2, 0, 5, "message"), (2, 1, 3, "orphan"),
+    ]
+    assert rows[0].json == '{"content":"be \\"kind\\"","role":"system","type":"message"}'
+    assert rows[3].json == '{"content":"x","id":"lost","type":"result"}'
+    assert {r.name for r in rows if r.status not in ("linked", "pending")} == {None}
+    assert all(r.valid for r in rows if r.status in ("message", "orphan", "repeated"))
+    assert _chat(spark, []) == []
+
+
+def test_every_turn_of_the_table_is_there_whole(spark):
+    from barloom.llm import queries
+
+    turns = {(r.conv_id, r.turn): (r.role, r.text) for r in queries.table(spark, "/root/testdata/sf0.01", "conversations").collect()}
+    found = {}
+    for r in queries.op8_tool_chat(spark, "/root/testdata/sf0.01").collect():
+        row = json.loads(r.json)
+        if r.status in ("linked", "pending"):
+            told = row["arguments"] if isinstance(row["arguments"], dict) else json.loads(row["arguments"])
+            assert (r.conv_id, r.turn) not in found
+            found[r.conv_id, r.turn] = ("assistant", told.get("query", told.get("text")))
+            if r.status == "linked":
+                found[r.conv_id, r.turn + 1] = ("user", row["result"])
+        else:
+            assert (r.conv_id, r.turn) not in found
+            found[r.conv_id, r.turn] = ("user" if row["type"] == "result" else row["role"], row["content"])
+    assert found == turns
+
+
+def test_long_texts_are_taken_whole(spark):
+    text = "word \u00e9 \n" * 100_000
+    (row,) = _chat(spark, [(1, 0, "i", "f", json.dumps({"a": 1, "b": text}), None)], [(1, 1, "i", text)])
+    assert row.valid and json.loads(row.json)["result"] == json.loads(row.json)["arguments"]["b"] == text
