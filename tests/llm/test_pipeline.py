@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
 from barloom.llm import decontaminate, ngram_join, quality, secrets
-from tests.llm.helpers import empty
+from tests.llm.helpers import DOCS, empty
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +66,80 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def _plain_chain(docs, items):
+    """The stages in plain Python, for texts that the plain quality rules decide: id to token ids."""
+
+    def words(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def is_good(text):
+        w = words(text)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        return len(w) >= 50 and 100 * len(again) <= 50 * len(w)
+
+    good = {i: t for i, t in docs if is_good(t)}
+    sets = {}
+    for i, t in good.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    single = {i: good[i] for i in set(root.values())}
+
+    def normal(text):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = set()
+    for item in items:
+        w = normal(item)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    clean = {
+        i: t for i, t in single.items()
+        if not any(tuple(normal(t)[k : k + n]) in windows for n in sizes for k in range(len(normal(t)) - n + 1))
+    }
+    masked = {i: re.sub(r'(token = ")[0-9a-f]{40}(")', rf"\1{secrets.MASK}\2", t) for i, t in clean.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return {i: [*library.encode(t), library.eos_id()] for i, t in masked.items()}
+
+
+def test_run_is_the_plain_chain(spark, tmp_path):
+    chance = random.Random(4)
+    known = [f"{a}{b}" for a in "river stone light paper north garden winter music".split() for b in ("", "s", "ly", "ed", "ing")]
+
+    def text(n):
+        return [chance.choice(known) + chance.choice(["", "", ",", "."]) for _ in range(n)]
+
+    items = [" ".join(text(14)) for _ in range(4)] + ["only three words"]
+    docs = []
+    for group in range(30):
+        base = text(chance.randint(70, 160))
+        if group % 5 == 1:
+            base[20:20] = items[group % 4].upper().split()
+        if group % 5 == 2:
+            base[9:9] = ["token", "=", f'"{chance.getrandbits(160):040x}"']
+        if group == 8:
+            base[5:5] = ["Only", "Three", "words"]
+        docs.append(" ".join(base))
+        for changes in (0, 1, 2, 12) if group % 3 == 0 else ():
+            copy = base.copy()
+            for _ in range(changes):
+                copy[chance.randrange(30, len(copy))] = "changed"
+            docs.append("\n".join(copy) if changes == 1 else " ".join(copy))
+    docs += [None, "", "too short", "again and again " * 40, " ".join(text(60)) + " again and again" * 8]
+    chance.shuffle(docs)
+    docs = list(enumerate(docs))
+    rows = [(i, t, "en", "src", None if t is None else len(t)) for i, t in docs]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = _plain_chain(docs, items)
+    assert 10 < len(expected) < len(docs) - 20
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == expected
