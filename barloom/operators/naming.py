@@ -33,7 +33,7 @@ def name_bars(raw: DataFrame, keep_empty: bool = False, keep_pulled: bool = Fals
     )
 
 
-_TIES = 1 << 20  # hash values below a millisecond of pull time
+_TIES = 1 << 60  # hash values below one step of pull time
 
 
 def newest_pulls(named: DataFrame) -> DataFrame:
@@ -45,10 +45,13 @@ def newest_pulls(named: DataFrame) -> DataFrame:
     the values decides: which bar stays has no meaning then, but is the same in
     every run. Rows without a timestamp are not reduced.
 
-    The order is one long number, so the aggregate is hash-based, and each task
+    The order is one decimal of 38 digits, which holds any long as pull time (in whatever
+    unit) and 60 bits of the hash below it; so the aggregate is hash-based, and each task
     reduces its own rows first.
     """
-    order = f"coalesce(pulled_at, -1L) * {_TIES} + pmod(xxhash64({', '.join(MEASURES)}), {_TIES})"
+    pulled = f"cast(coalesce(pulled_at, cast('{-(1 << 63)}' as bigint)) as decimal(20,0))"
+    tie = f"cast(pmod(xxhash64({', '.join(MEASURES)}), {_TIES}L) as decimal(19,0))"
+    order = f"{pulled} * cast({_TIES}L as decimal(19,0)) + {tie}"
     latest = [F.expr(f"max_by({name}, {order}) as {name}") for name in MEASURES]
     without_time = F.when(F.col("timestamp").isNull(), F.xxhash64(*MEASURES)).alias("odd")
     return named.groupBy("symbol", "timeframe", "timestamp", without_time).agg(*latest).drop("odd")

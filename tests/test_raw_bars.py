@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.errors import PySparkException
 
-from barloom import good_raw, latest_from_raw, name_bars, raw_rejects, read_raw_bars, read_raw_lines
+from barloom import good_raw, latest_from_raw, name_bars, newest_pulls, raw_rejects, read_raw_bars, read_raw_lines
 from barloom.sources.schemas import BAR_COLUMNS
 from tests.fixtures import collected, plan_of, stamp
 
@@ -142,3 +142,17 @@ def test_filters_keep_every_rejected_line(spark, tmp_path):
 def test_no_lines(spark, tmp_path):
     lines = landed(spark, tmp_path, [""])
     assert good_raw(lines).count() == raw_rejects(lines).count() == 0
+
+
+def test_pull_times_in_any_unit_and_equal_ones(spark, tmp_path):
+    def pulls(rows):
+        schema = "symbol string, timeframe string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, pulled_at long"
+        return spark.createDataFrame([("A", "1D", stamp("2024-01-01"), o, 1.0, 1.0, 1.0, 1.0, at) for o, at in rows], schema)
+
+    micros, top = 1_704_067_200_000_000, (1 << 63) - 1
+    rows = [(1.0, micros), (2.0, micros + 1), (3.0, micros - 1), (9.0, None), (8.0, -5)]
+    for chosen, more in ((2.0, []), (4.0, [(4.0, top)]), (5.0, [(5.0, top), (4.0, top - 1)])):
+        assert [r.open for r in newest_pulls(pulls(rows + more)).collect()] == [chosen]
+    assert [r.open for r in newest_pulls(pulls([(9.0, None), (8.0, -(1 << 62))])).collect()] == [8.0]
+    equal = pulls([(float(i), micros) for i in range(300)])
+    assert len({newest_pulls(equal.repartition(n)).first().open for n in (1, 3, 7)}) == 1
