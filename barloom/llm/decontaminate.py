@@ -13,8 +13,10 @@ finds so far kept in a stored table between passes. Rows are the same either way
 
 Nulls and the like: a null or empty text has no words, so no windows and no hits. An
 item without an id counts as one named with the empty string. Repeated items and rows
-change nothing. Without items nothing is hit. Added columns replace columns of the
-same name.
+change nothing. Without items nothing is hit. Texts are scanned whole, in one pass and in
+memory in proportion to the longest. ``scan`` adds ``n_words``, ``spans`` and ``items`` in place of
+columns of these names; all other columns, whatever their names, stay as they are, and the two
+functions that remove give back the columns they got.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_index_bytes: int = MAX_INDEX
     blocks = max(1, -(-total // max_index_bytes))
     rest = [c for c in docs.columns if c not in ADDED]
     found = docs.select(
-        *rest,
+        *[F.col(f"`{c}`") for c in rest],
         F.array().cast(SPANS).alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
@@ -147,8 +149,9 @@ def _scan_block(docs: DataFrame, rest: list[str], windows: WindowSet) -> DataFra
             list(ADDED),
         )
 
-    got = scanned(F.col("text").cast("binary"), "spans", "items").alias("_found")
-    return docs.select(*rest, got).select(*rest, *[f"_found.{name}" for name in ADDED])
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    got = scanned(F.col("text").cast("binary"), "spans", "items").alias("found")
+    return docs.select(row, got).select("row.*", *[f"found.{name}" for name in ADDED])
 
 
 def hit_words(spans: str = "spans") -> F.Column:
@@ -156,8 +159,9 @@ def hit_words(spans: str = "spans") -> F.Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return scan(docs, benchmark).where(F.size("spans") == 0).select(*docs.columns)
+    """The documents without any hit, with their own columns, whatever their names."""
+    found = scan(docs.select(F.struct("*").alias("row"), "text"), benchmark)
+    return found.where(F.size("spans") == 0).select("row.*")
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -186,4 +190,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return pa.array(rows, pa.string())
 
     text = F.when(F.size("spans") > 0, cleaned(F.col("text").cast("binary"), "spans")).otherwise(F.col("text"))
-    return scan(docs, benchmark).select(*[text.alias(c) if c == "text" else c for c in docs.columns])
+    found = scan(docs.select(F.struct("*").alias("row"), "text"), benchmark)
+    return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

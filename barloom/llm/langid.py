@@ -192,7 +192,8 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*rest, predicted("text").alias("_guess")).select(*rest, "_guess.lang_pred", "_guess.score")
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    return docs.select(row, predicted("text").alias("guess")).select("row.*", "guess.lang_pred", "guess.score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,6 +6,9 @@ the last return the columns of ``documents``.
 
 Nulls and the like follow the operators: a null or empty text fails the quality rules;
 rows with a null id are never removed as copies; an empty table passes through empty.
+Of equal ids and texts one stays, of near copies the smallest id; ties in any score are
+judged alike. Texts of any length are taken whole. Extra columns of ``documents`` pass
+through all stages but the last whatever their names, as operators work beside the row.
 """
 
 from __future__ import annotations
@@ -26,10 +29,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _beside(docs: DataFrame, *needed: str) -> DataFrame:
+    """Each whole ``row`` as one column, and beside it what an operator needs."""
+    return docs.select(F.struct("*").alias("row"), *needed)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the isolation forest keep."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).where("kept").select(*docs.columns)
+    return quality.judge(_beside(docs, "text"), model).where("kept").select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +54,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
     words = secrets.dictionary(docs)
     trees = secrets.train(secrets.rule_labels(docs), words)
-    scanned = secrets.scan(docs, trees, words)
-    leaks = F.exists("findings", lambda f: f.is_secret)
-    masked = secrets.redact(scanned.withColumn("_leaks", leaks))
-    n_chars = F.when(F.col("_leaks"), F.char_length("text")).otherwise(F.col("n_chars"))
+    scanned = secrets.scan(_beside(docs, "text", "source"), trees, words)
+    has_secret = F.exists("findings", lambda f: f.is_secret)
+    masked = secrets.redact(scanned.withColumn("has_secret", has_secret))
     kind = docs.schema["n_chars"].dataType
-    return masked.withColumn("n_chars", n_chars.cast(kind)).select(*docs.columns)
+    n_chars = F.when(F.col("has_secret"), F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return masked.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
