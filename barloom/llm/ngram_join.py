@@ -24,7 +24,9 @@ within a block of documents are summed over all blocks, and those with at least
 Nulls and the like: a document without words has an empty set and is linked with
 nothing. Rows with a null id have no component and link nothing; they are never
 removed. Repeated rows fall in one class; an id repeated with another text counts in
-the class of each. An empty table gives empty results.
+the class of each. Of equal ids and sets any row may stay. Very long texts are one set
+like others, in memory in proportion to their words. An empty table gives empty results.
+Only ``doc_id`` and ``text`` are read; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,20 +38,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import slices
 from barloom.llm.components import components
 from barloom.scratch import stored
 
 MAX_FREQUENT = 1 << 20  # n-grams in the broadcast table of counts
-COUNTED_BLOCK = 2_000_000  # n-grams among which repeats are looked for
+COUNTED_BLOCK = 1_000_000  # n-grams among which repeats are looked for
 SMALL_BUCKET = 32
 MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1000
-MAX_BROADCAST_NEEDED = 0  # rows of ids and places: none is broadcast, see links
-KNOWN_WORDS = 200_000
+HASHED_BYTES = 1 << 20  # of texts hashed together
 
 _U64 = np.uint64
 
@@ -57,39 +59,78 @@ _U64 = np.uint64
 # --- sets --------------------------------------------------------------------
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_WORDS = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U64(30)) * _U64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> _U64(27)) * _U64(0x94D049BB133111EB)
     return x ^ x >> _U64(31)
 
 
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams.
+_GOLDEN = _U64(0x9E3779B97F4A7C15)
+_PLACES = 64
+#: A random number for each byte at each place of a word.
+_OF_BYTE = _mix(np.arange(1, _PLACES * 256 + 1, dtype=_U64) * _GOLDEN)
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)], np.int64)
+
+
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text: where each starts, and its hash.
+
+    A hash adds up random numbers of its bytes by their places; each further 64 places
+    count by another odd factor.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    inside = ~_IS_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, _U64)
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    values = _OF_BYTE[(place % _PLACES << 8) + _LOWER[raw[inside]]]
+    if int(lengths.max()) > _PLACES:
+        values *= _mix((place // _PLACES).astype(_U64) * _GOLDEN) | _U64(1)
+    return starts, _mix(np.add.reduceat(values, before) + lengths.astype(_U64) * _GOLDEN)
+
+
+def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word n-grams.
 
     A-Z are lower-cased, ASCII white space separates words. A text of fewer words has
-    one n-gram, all its words.
+    one n-gram, all its words. All texts are hashed together.
     """
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, _U64)
-    n = min(n, len(words))
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), _U64, len(words))
-    count = len(words) - n + 1
+    starts, hashes = _word_hashes(b"\n".join([*(text or b"" for text in texts), b""]))
+    ends = np.cumsum([len(text or b"") + 1 for text in texts])
+    last = np.searchsorted(starts, ends).tolist()
+    grams = _grams(hashes, n)
+    found, first = [], 0
+    for end in last:
+        if end - first >= n:
+            found.append(np.unique(grams[first : end - n + 1]))
+        else:
+            found.append(_grams(hashes[first:end], end - first))
+        first = end
+    return found
+
+
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all stretches of ``n`` words."""
+    count = max(0, len(hashes) - n + 1) if n else 0
     mixed = np.full(count, n, _U64)
     for k in range(n):
-        mixed = _mix(mixed * _U64(0x9E3779B97F4A7C15) + hashes[k : k + count])
-    return np.unique(mixed)
+        mixed = _mix(mixed * _GOLDEN + hashes[k : k + count])
+    return mixed
+
+
+def shingles(text: bytes | None, n: int) -> np.ndarray:
+    """The set of one text."""
+    return sets_of([text], n)[0]
+
+
+def _all_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sets of a column of texts, hashed by stretches of bounded bytes."""
+    for start, count in slices(texts, HASHED_BYTES):
+        yield from sets_of(texts.slice(start, count).to_pylist(), n)
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -119,8 +160,8 @@ def frequent(docs: DataFrame, n: int) -> Frequent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(shingles(text.as_py(), n))
+            for tokens in _all_sets(batch.column(0), n):
+                held.append(tokens)
                 size += len(held[-1])
                 if size >= COUNTED_BLOCK:
                     yield _repeats(held)
@@ -144,7 +185,7 @@ def _repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
     some = counts >= 2
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([*tokens[some].view(np.int64).tolist(), None], pa.int64()),
+            pa.concat_arrays([pa.array(tokens[some].view(np.int64)), pa.nulls(1, pa.int64())]),
             pa.array(np.append(counts[some], len(every))),
         ],
         ["token", "n"],
@@ -193,8 +234,7 @@ def _prefixes(
     table = shared.value
     for batch in batches:
         sigs, sizes, ks, prefixes, rows = [], [], [], [], []
-        for row, text in enumerate(batch.column(1)):
-            tokens = shingles(text.as_py(), n)
+        for row, tokens in enumerate(_all_sets(batch.column(1), n)):
             if len(tokens):
                 k, chosen = prefix(tokens, table.of(tokens), percent)
                 rows.append(row)
@@ -286,12 +326,12 @@ def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
         .agg(F.collect_list(job).alias("jobs"))  # places of one prefix, times blocks
     )
     # Shuffled at every size: the lists of places have no bound that would allow a broadcast.
-    side = stored(jobs, "jobs").withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    texts = _with_ids(docs).join(side, F.col("doc_id") == F.col("_id"))
+    side = stored(jobs, "jobs").withColumnRenamed("doc_id", "id").hint("shuffle_hash")
+    texts = _with_ids(docs).join(side, F.col("doc_id") == F.col("id"))
 
     @F.arrow_udf("binary")
     def tokens_of(sources: pa.Array, sigs: pa.Array) -> pa.Array:
-        sets = ((shingles(t.as_py(), n), s.as_py()) for t, s in zip(sources, sigs))
+        sets = zip(_all_sets(sources, n), sigs.to_pylist())
         # An id may be repeated with another text; that row stands for another class.
         return pa.array([s.tobytes() if signature(s) == sig else None for s, sig in sets], pa.binary())
 
@@ -386,42 +426,61 @@ def class_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the ``sig`` and size (``n_shingles``) of each set; no ``sig`` if empty."""
+    """Each whole ``row`` of ``docs`` with the ``sig`` and size (``n_shingles``) of its set; no ``sig`` if empty."""
 
     @F.arrow_udf("sig binary, n_shingles long")
     def measured(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py(), n) for t in texts]
-        sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-        return pa.StructArray.from_arrays([sigs, pa.array([len(s) for s in sets], pa.int64())], ["sig", "n_shingles"])
+        sigs, sizes = [], []
+        for tokens in _all_sets(texts, n):
+            sigs.append(signature(tokens) if len(tokens) else None)
+            sizes.append(len(tokens))
+        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["sig", "n_shingles"])
+
+    found = docs.select(F.struct("*").alias("row"), measured(F.col("text").cast("binary")).alias("found"))
+    return found.select("row", "found.sig", "found.n_shingles")
 
-    rest = [c for c in docs.columns if c not in ("sig", "n_shingles", "component_id", "_set")]
-    return docs.select(*rest, measured(F.col("text").cast("binary")).alias("_set")).select(
-        *rest, "_set.sig", "_set.n_shingles"
-    )
+
+def _has_word(text: Column) -> Column:
+    """Whether a text has a word: the search ends at the first one."""
+    return F.coalesce(F.rlike(text.cast("string"), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Every row's ``doc_id``, ``n_shingles`` and ``component_id``."""
     found = class_components(docs, n, percent).select("sig", "component_id")
-    rows = with_sets(docs.select("doc_id", "text"), n).drop("text")
-    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.join(found, "sig", "left").select("doc_id", "n_shingles", named.alias("component_id"))
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    rows = docs.select("doc_id", "text")
+    worded = with_sets(rows.where(_has_word(F.col("text"))), n).select("row.doc_id", "sig", "n_shingles")
+    # Rows without words would all meet under one key.
+    rest = rows.where(~_has_word(F.col("text"))).select(
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")
+    )
+    return worded.join(found, "sig", "left").select("doc_id", "n_shingles", named).unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id; all without words stay.
 
-    Rows that repeat both an id and its set count as one document.
+    Rows that repeat both an id and its set count as one document. The columns of ``docs``
+    may have any names and come back as they are.
     """
-    stays = class_components(docs, n, percent).where("stays").select("sig", F.col("doc_id").alias("_id"))
-    kept = (
-        with_sets(docs, n)
-        .join(stays, "sig", "left")
-        .where(F.col("sig").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_id")))
+    stays = stored(class_components(docs, n, percent).where("stays").select("sig", F.col("doc_id").alias("id")), "stays")
+    repeated = stored(
+        docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "repeated"
     )
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null"), "repeated")
+    rows = docs.select(F.struct("*").alias("row"))
+    has_word = _has_word(F.col("row.text"))
+    with_id = F.col("row.doc_id").isNotNull()
+    worded = rows.where(with_id & has_word)
+    free = rows.where(~with_id | ~has_word)
+    is_same = F.col("row.doc_id") == F.col("id")
+    kept = free.union(worded.join(stays.select("id").hint("shuffle_hash"), is_same, "left_semi"))
     if not repeated.isEmpty():
-        once = kept.join(repeated.select("doc_id"), "doc_id", "left_anti")
-        again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi")
-        kept = once.unionByName(again.dropDuplicates(["doc_id", "sig"]))
-    return kept.select(*docs.columns)
+        # Only these need their sets again: other rows of the id may have another.
+        once = kept.join(repeated, is_same, "left_anti")
+        again = with_sets(rows.join(repeated, is_same, "left_semi").select("row.*"), n)
+        own = stays.withColumnRenamed("id", "first")
+        again = again.join(own, "sig", "left").where(F.col("sig").isNull() | (F.col("row.doc_id") == F.col("first")))
+        again = again.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "sig"]).select("row")
+        kept = once.union(again)
+    return kept.select("row.*")

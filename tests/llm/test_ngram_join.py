@@ -57,13 +57,6 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, bucket, bl
     assert found == _brute(rows, n, percent)
 
 
-def test_joined_by_shuffle_when_too_many_are_needed(spark, monkeypatch):
-    monkeypatch.setattr(nj, "MAX_BROADCAST_NEEDED", 0)
-    rows = _near_copies(9, groups=2, copies=12)
-    found = {r.doc_id: r.component_id for r in nj.join(docs(spark, [t for _, t in rows]), 3, 90).collect()}
-    assert found == {i: c for i, (_, c) in _brute(rows, 3, 90).items()}
-
-
 @settings(max_examples=200, deadline=None)
 @given(
     st.sets(st.integers(0, 60), min_size=1, max_size=40),
@@ -119,3 +112,28 @@ def test_texts_meet_their_places_without_a_broadcast(spark):
     found = nj.classes(table, 3, 80)
     plan = nj.links(table, found, 3, 80)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_of_random_edges(spark):
+    rng = random.Random(8)
+    for nodes, count in [(30, 20), (200, 150), (200, 400), (50, 49)]:
+        edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)]
+        edges += [(0, i) for i in range(nodes // 2, nodes)] if nodes == 50 else []
+        root = {i: i for e in edges for i in e if e[0] != e[1]}
+        for a, b in edges:
+            if a != b:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+        found = components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.root for r in found.collect()} == root
+        for i, r in root.items():
+            assert r <= i
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(150_000)]
+    other = words[:100] + ["changed"] * 50 + words[150:]
+    table = docs(spark, [" ".join(words), " ".join(other), "short text of its own"])
+    assert {r.doc_id: r.component_id for r in nj.join(table, 5, 80).collect()} == {0: 0, 1: 0, 2: 2}
