@@ -10,7 +10,7 @@ from barloom.functions.text import (
 from barloom.functions.order_keys import OrderField, PackedOrder
 from barloom.functions.timeframes import TIMEFRAMES, Timeframe, section_no, with_timeframe_info
 from barloom.functions.timestamps import epoch_ms_to_timestamp, timestamp_to_epoch_ms
-from barloom.operators.bars import bars, roll_up
+from barloom.operators.bars import bars, partitions_for, roll_up
 from barloom.operators.concat import concat_timeframes, order_bars
 from barloom.operators.histogram import bar_histogram, newest_bounds, newest_trades
 from barloom.operators.latest import DEFAULT_LIMIT, latest_bars
@@ -54,6 +54,7 @@ __all__ = [
     "newest_trades",
     "number_text",
     "order_bars",
+    "partitions_for",
     "raw_rejects",
     "read_bars",
     "read_raw_bars",

@@ -22,6 +22,12 @@ from barloom.sources.schemas import MEASURES
 
 
 _MOST_BASE_BARS = 1_000  # of one symbol and longest interval brought together uncombined
+_TRADES_A_TASK = 250_000
+
+
+def partitions_for(trades: DataFrame, rows: int = _TRADES_A_TASK) -> int:
+    """So many partitions that one holds about ``rows`` trades: counts them, reading no column of a file."""
+    return max(-(-trades.count() // rows), trades.sparkSession.sparkContext.defaultParallelism)
 
 
 def bars(
@@ -29,6 +35,7 @@ def bars(
     timeframes: Sequence[str | Timeframe] = TIMEFRAMES,
     order_by: str | Sequence[str] | PackedOrder = "ts",
     exact_volume: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Build one bar per symbol, timeframe and interval that saw a trade.
 
@@ -48,39 +55,60 @@ def bars(
     every task reduces its rows to one per symbol and interval first, so a hot
     symbol or a hot interval adds at most one row per task to the shuffle. The
     longer bars are then rolled up from those.
+
+    That reduction is in vain where an interval holds about one trade, and then every task
+    keeps nearly all its trades in memory. For such trades name ``partitions`` (see
+    ``partitions_for``): they are dealt by symbol and longest interval over so many tasks,
+    which fold them and roll them up where they are. A task then holds its share of the
+    trades, whatever the size of a file split or the number of shuffle partitions.
     """
     frames = resolve(timeframes)
     base = Timeframe("base", "base", math.gcd(*[frame.seconds for frame in frames]))
-    base_bars = _base_bars(trades, base.seconds, order_by, exact_volume)
+    dealt = None
+    if partitions is not None:
+        longest = max(frame.seconds for frame in frames)
+        dealt = (partitions, longest if _is_nested(frames, base) else base.seconds)
+    base_bars = _base_bars(trades, base.seconds, order_by, exact_volume, dealt)
     if len(frames) == 1:
         if exact_volume:
             base_bars = with_total(base_bars, "volume")
         return base_bars.select(
             "symbol", F.lit(frames[0].label).alias("timeframe"), "timestamp", *MEASURES
         )
-    return _rolled_up(base_bars, frames, base, exact_volume)
+    return _rolled_up(base_bars, frames, base, exact_volume, dealt is not None)
 
 
 def _base_bars(
-    trades: DataFrame, seconds: int, order_by: str | Sequence[str] | PackedOrder, exact_volume: bool
+    trades: DataFrame,
+    seconds: int,
+    order_by: str | Sequence[str] | PackedOrder,
+    exact_volume: bool,
+    dealt: tuple[int, int] | None = None,
 ) -> DataFrame:
+    """``dealt``: partitions, and seconds of the intervals dealt to them, kept as ``span``."""
     # A zoned column is bucketed as the instant it is; only the few bar starts
     # are turned into zone-less UTC, after the aggregation.
     zoned = isinstance(trades.schema["ts"].dataType, TimestampType)
     start = F.col("start")
     rows = trades.where(F.col("price").isNotNull()).withColumn("start", bucket_start(F.col("ts"), seconds))
+    keys = ["symbol", "start"]
+    if dealt:
+        rows = rows.withColumn("span", bucket_start(F.col("start"), dealt[1]))
+        keys.insert(1, "span")
     if isinstance(order_by, PackedOrder):
         # Read twice, so worked out once in a column of its own.
-        rows = rows.select("symbol", "start", "price", "size", order_by.column(seconds).alias("packed_order"))
+        rows = rows.select(*keys, "price", "size", order_by.column(seconds).alias("packed_order"))
         order = "packed_order"
     else:
-        keys = [f"`{key}`" for key in ([order_by] if isinstance(order_by, str) else order_by)]
-        order = keys[0] if len(keys) == 1 else f"struct({', '.join(keys)})"
+        orders = [f"`{key}`" for key in ([order_by] if isinstance(order_by, str) else order_by)]
+        order = orders[0] if len(orders) == 1 else f"struct({', '.join(orders)})"
+    if dealt:
+        rows = rows.repartition(dealt[0], "symbol", "span")
     volumes = limb_sums("volume", "size") if exact_volume else [_volume("size")]
     return (
-        rows.groupBy("symbol", "start")
+        rows.groupBy(*keys)
         .agg(*_prices("price", "price", "price", "price", order, order), *volumes)
-        .select("symbol", (to_utc_ntz(start) if zoned else start).alias("timestamp"), *_PRICES, *_volumes(exact_volume))
+        .select(*keys[:-1], (to_utc_ntz(start) if zoned else start).alias("timestamp"), *_PRICES, *_volumes(exact_volume))
     )
 
 
@@ -100,9 +128,9 @@ def roll_up(
 
 
 def _rolled_up(
-    base_bars: DataFrame, frames: Sequence[Timeframe], base: Timeframe, exact_volume: bool
+    base_bars: DataFrame, frames: Sequence[Timeframe], base: Timeframe, exact_volume: bool, dealt: bool = False
 ) -> DataFrame:
-    """Base bars of limb sums in place of volumes are added up exactly."""
+    """Base bars of limb sums in place of volumes are added up exactly; ``dealt`` ones lie by ``span``."""
     for frame in frames:
         if frame.seconds % base.seconds:
             raise ValueError(f"{frame.label} is not a whole multiple of {base.label}")
@@ -114,14 +142,17 @@ def _rolled_up(
     # Sets that span more than that are combined in each task before the
     # shuffle instead, so no task ever holds a whole longest interval.
     longest = max(frame.seconds for frame in frames)
-    nested = all(longest % frame.seconds == 0 for frame in frames)
-    nested = nested and longest // base.seconds <= _MOST_BASE_BARS
+    nested = _is_nested(frames, base)
     at = timestamp_to_epoch_us(F.col("timestamp"))
-    rows = base_bars.select("symbol", *_PRICES, *_volumes(exact_volume), at.alias("at"))
     keys = ["symbol", "section", "start"]
+    kept = ["symbol", *_PRICES, *_volumes(exact_volume)]
     if nested:
-        rows = rows.withColumn("span", F.expr(_floor(longest))).repartition("symbol", "span")
         keys.insert(1, "span")
+    if nested and dealt:
+        kept.insert(1, "span")
+    rows = base_bars.select(*kept, at.alias("at"))
+    if nested and not dealt:
+        rows = rows.withColumn("span", F.expr(_floor(longest))).repartition("symbol", "span")
     # Numbers as keys: hashing a label per row would cost more than the rest.
     targets = ", ".join(
         f"struct({i} as section, {_floor(frame.seconds)} as start)"
@@ -144,6 +175,11 @@ def _rolled_up(
     return with_total(built, "volume") if exact_volume else built
 
 
+def _is_nested(frames: Sequence[Timeframe], base: Timeframe) -> bool:
+    longest = max(frame.seconds for frame in frames)
+    return longest // base.seconds <= _MOST_BASE_BARS and all(longest % frame.seconds == 0 for frame in frames)
+
+
 # A null order leaves a row out, and stays a long: the aggregate is still hash-based.
 _AT_OPEN = "if(open is null, null, at)"
 _AT_CLOSE = "if(close is null, null, at)"

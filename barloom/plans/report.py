@@ -25,18 +25,20 @@ def latest_from_trades(
     histogram: DataFrame | None = None,
     exact_volume: bool = False,
     day: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Newest bars of every symbol and timeframe, built from trades.
 
     With the trades' ``bar_histogram`` only trades are scanned that the newest bars may
-    need; ``day`` names a column with the UTC date of ``ts``, see ``newest_trades``.
+    need; ``day`` names a column with the UTC date of ``ts``, see ``newest_trades``. For
+    ``partitions`` see ``bars`` and ``latest_bars``.
     """
     if symbols is not None:
         trades = select_symbols(trades, symbols)
         histogram = histogram if histogram is None else select_symbols(histogram, symbols)
     if histogram is not None:
         trades = newest_trades(trades, histogram, limit, timeframes, day)
-    return latest_bars(bars(trades, timeframes, order_by, exact_volume), limit)
+    return latest_bars(bars(trades, timeframes, order_by, exact_volume, partitions), limit, partitions)
 
 
 def latest_from_raw(

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom import TIMEFRAMES, Timeframe, bars, latest_bars, roll_up
+from barloom import TIMEFRAMES, Timeframe, bars, latest_bars, latest_from_trades, roll_up
 from tests.fixtures import (
     TRADE_SCHEMA,
     collected,
@@ -223,3 +223,20 @@ def test_wide_sets_give_the_same_bars(spark, monkeypatch):
     expected = collected(bars(trades))
     monkeypatch.setattr("barloom.operators.bars._MOST_BASE_BARS", 10)
     assert collected(bars(trades)) == expected
+
+
+@pytest.mark.parametrize("frames", [["1D"], ["1D", "1H", "5M"], [Timeframe("3H", "3h", 10_800), Timeframe("2H", "2h", 7_200)]])
+@pytest.mark.parametrize("zoned", [False, True])
+def test_dealt_trades_give_the_same_bars(spark, frames, zoned):
+    trades = spark.range(4_000).select(
+        F.concat(F.lit("S"), (F.col("id") % 7).cast("string")).alias("symbol"),
+        F.timestamp_add("SECOND", (F.col("id") * 397).cast("int"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"),
+        F.when(F.col("id") % 11 != 0, (F.col("id") % 101).cast("double")).alias("price"),
+        (F.col("id") % 13).cast("double").alias("size"),
+    )
+    if zoned:
+        trades = trades.withColumn("ts", F.col("ts").cast("timestamp"))
+    for exact in (False, True):
+        plain = latest_from_trades(trades, timeframes=frames, limit=20, exact_volume=exact)
+        dealt = latest_from_trades(trades, timeframes=frames, limit=20, exact_volume=exact, partitions=5)
+        assert collected(dealt) == collected(plain) and dealt.schema == plain.schema

@@ -17,6 +17,7 @@ from barloom import (
     latest_from_trades,
     name_bars,
     newest_pulls,
+    partitions_for,
     read_bars,
     write_bars,
 )
@@ -124,3 +125,17 @@ def test_larger_limits_keep_the_cut_when_the_threshold_allows(trades, conf):
     assert "Partial" not in plan_of(latest_bars(bars(trades), 2_000))
     conf("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
     assert "row_number(), 2000, Partial" in plan_of(latest_bars(bars(trades), 2_000))
+
+
+def test_dealt_trades_fold_and_roll_up_where_they_are(trades):
+    plan = plan_of(latest_from_trades(trades, partitions=7))
+    assert [parts for _, parts in re.findall(r"Exchange (\w+)\([^()]*, (\d+)\)", plan)] == ["7", "7"]
+    assert plan.count("partial_min_by") == 2 and plan.count("FileScan") == 1
+
+
+def test_tasks_of_sparse_trades_do_not_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(partitions_for, "__defaults__", (500,))
+    plan = plan_of(driver.queries()["supplier_latest_bars"](spark, SF))
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    found = [int(parts) for parts in re.findall(r"Exchange \w+\([^()]*, (\d+)\)", plan)]
+    assert found == [-(-rows // 500)] * 2
