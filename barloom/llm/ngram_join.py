@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import slices
+from barloom.llm.batches import batches_of, slices
 from barloom.llm.components import components
 from barloom.scratch import stored
 
@@ -52,6 +52,7 @@ MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1000
 HASHED_BYTES = 1 << 20  # of texts hashed together
+BATCH_BYTES = 2 << 20  # sent to Python at once
 
 _U64 = np.uint64
 
@@ -411,8 +412,10 @@ def class_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     ``stays`` marks the one set of each component that has that smallest id.
     """
-    found = classes(docs, n, percent)
-    roots = components(stored(links(docs, found, n, percent), "links"))
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        found = classes(docs, n, percent)
+        linked = stored(links(docs, found, n, percent), "links")
+    roots = components(linked)
     rooted = found.join(roots, found.cid == roots.node, "left").select(
         "sig", "doc_id", F.coalesce("root", "cid").alias("root")
     )
@@ -451,6 +454,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     rows = docs.select("doc_id", "text")
     worded = with_sets(rows.where(_has_word(F.col("text"))), n).select("row.doc_id", "sig", "n_shingles")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        worded = stored(worded, "sets")
     # Rows without words would all meet under one key.
     rest = rows.where(~_has_word(F.col("text"))).select(
         "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")

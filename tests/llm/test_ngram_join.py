@@ -4,12 +4,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.llm import ngram_join as nj
+from barloom.llm.batches import batches_of
 from barloom.llm.components import components
 from tests.llm.helpers import docs, empty
 
@@ -137,3 +139,23 @@ def test_very_long_texts(spark):
     other = words[:100] + ["changed"] * 50 + words[150:]
     table = docs(spark, [" ".join(words), " ".join(other), "short text of its own"])
     assert {r.doc_id: r.component_id for r in nj.join(table, 5, 80).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before, stored = spark.conf.get(key, None), nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: seen.update({name: spark.conf.get(key, None)}) or stored(df, name))
+    table = docs(spark, ["a b c d e f", "A b c d e f", "x y", None])
+    nj.join(table, 3, 90).collect()
+    assert {seen[name] for name in ("counts", "classes", "links", "sets")} == {str(nj.BATCH_BYTES)}
+    assert spark.conf.get(key, None) == before
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    texts = spark.range(0, 1_000, 1, 1).select(F.repeat(F.lit("x"), 2_000).alias("text"))
+    with pytest.raises(ZeroDivisionError), batches_of(spark, 100_000):
+        assert max(row.n for row in texts.mapInArrow(rows, "n long").collect()) <= 50
+        1 / 0
+    assert spark.conf.get(key, None) == before
