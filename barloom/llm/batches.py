@@ -30,6 +30,14 @@ def batches_of(spark: SparkSession, most_bytes: int) -> Iterator[None]:
             spark.conf.set(_BYTES, before)
 
 
+def bound_batches(spark: SparkSession, most_bytes: int) -> None:
+    """From now on the session sends rows to Python in batches of about ``most_bytes``, or of one larger row.
+
+    For frames that are returned before they run: Spark reads the setting only when they do.
+    """
+    spark.conf.set(_BYTES, str(most_bytes))
+
+
 def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Starts and lengths of stretches of rows, each ended once it has ``most_bytes`` of text."""
     start = size = 0

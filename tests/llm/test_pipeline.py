@@ -143,3 +143,26 @@ def test_run_is_the_plain_chain(spark, tmp_path):
     expected = _plain_chain(docs, items)
     assert 10 < len(expected) < len(docs) - 20
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == expected
+
+
+def test_all_stages_send_texts_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    key, count, most = "spark.sql.execution.arrow.maxBytesPerBatch", quality.count_texts, corpus_pipeline.BATCH_BYTES
+    before = spark.conf.get(key, None)
+
+    def count_few(texts):
+        assert sum(map(len, texts.to_pylist())) <= 1.1 * most
+        return count(texts)
+
+    monkeypatch.setattr(quality, "count_texts", count_few)
+    text = " ".join(f"word{i}" for i in range(250))
+    docs = spark.createDataFrame([(i, f"{text} {i}", "en", "src", None) for i in range(4_000)], DOCS).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    try:
+        assert corpus_pipeline.quality_rules(spark, docs, SF).count() == 4_000
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, empty(spark), SF)
+            assert spark.conf.get(key) == str(most)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
