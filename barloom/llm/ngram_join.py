@@ -17,9 +17,9 @@
     spanning forest of its links, at most a row per class, never all pairs.
 5.  Components of those rows give each document the smallest id it is linked with.
 
-The order needs no exact counts, only the same ones everywhere: n-grams that repeat
-within a block of documents are summed over all blocks, and those with at least one
-``MAX_FREQUENT``-th of all n-grams are broadcast, which bounds their number.
+The order needs no exact counts, only the same ones everywhere: an n-gram counts with all
+others of its cell, of ``2**CELL_BITS`` cells in all. Cells differ little by chance, so an
+n-gram of a few dozen documents stands out and comes late in the order, at any size.
 
 Nulls and the like: a document without words has an empty set and is linked with
 nothing. Rows with a null id have no component and link nothing; they are never
@@ -42,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.batches import batches_of, slices
+from barloom.llm.cells import cells_of, gathered, mix, only_ids, tally
 from barloom.llm.components import components
 from barloom.scratch import stored
 
-MAX_FREQUENT = 1 << 20  # n-grams in the broadcast table of counts
-COUNTED_BLOCK = 1_000_000  # n-grams among which repeats are looked for
+CELL_BITS = 22
 SMALL_BUCKET = 32
 MOST_MATCHES = 8
 BLOCK_BYTES = 4 << 20
@@ -60,16 +60,10 @@ _U64 = np.uint64
 # --- sets --------------------------------------------------------------------
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> _U64(30)) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> _U64(27)) * _U64(0x94D049BB133111EB)
-    return x ^ x >> _U64(31)
-
-
 _GOLDEN = _U64(0x9E3779B97F4A7C15)
 _PLACES = 64
 #: A random number for each byte at each place of a word.
-_OF_BYTE = _mix(np.arange(1, _PLACES * 256 + 1, dtype=_U64) * _GOLDEN)
+_OF_BYTE = mix(np.arange(1, _PLACES * 256 + 1, dtype=_U64) * _GOLDEN)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)], np.int64)
 
@@ -90,8 +84,8 @@ def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
     values = _OF_BYTE[(place % _PLACES << 8) + _LOWER[raw[inside]]]
     if int(lengths.max()) > _PLACES:
-        values *= _mix((place // _PLACES).astype(_U64) * _GOLDEN) | _U64(1)
-    return starts, _mix(np.add.reduceat(values, before) + lengths.astype(_U64) * _GOLDEN)
+        values *= mix((place // _PLACES).astype(_U64) * _GOLDEN) | _U64(1)
+    return starts, mix(np.add.reduceat(values, before) + lengths.astype(_U64) * _GOLDEN)
 
 
 def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -119,7 +113,7 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     count = max(0, len(hashes) - n + 1) if n else 0
     mixed = np.full(count, n, _U64)
     for k in range(n):
-        mixed = _mix(mixed * _GOLDEN + hashes[k : k + count])
+        mixed = mix(mixed * _GOLDEN + hashes[k : k + count])
     return mixed
 
 
@@ -143,12 +137,15 @@ def signature(tokens: np.ndarray) -> bytes:
 
 @dataclass(frozen=True)
 class Frequent:
-    """N-grams of many documents, ascending, with their counts."""
+    """Counts of n-grams, ascending; or, without n-grams, of all cells, with the usual count of one."""
 
-    tokens: np.ndarray
+    tokens: np.ndarray | None
     counts: np.ndarray
+    usual: int = 0
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
+        if self.tokens is None:
+            return self.counts[cells_of(tokens, CELL_BITS)].astype(np.int64)
         if not len(self.tokens):
             return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
@@ -156,54 +153,24 @@ class Frequent:
 
 
 def frequent(docs: DataFrame, n: int) -> Frequent:
-    """The table of frequent n-grams, from all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for tokens in _all_sets(batch.column(0), n):
-                held.append(tokens)
-                size += len(held[-1])
-                if size >= COUNTED_BLOCK:
-                    yield _repeats(held)
-                    held, size = [], 0
-        yield _repeats(held)
-
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "token long, n long")
-    counts = stored(found.groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    # The sum of all n-grams stands under the null token.
-    total = counts.where("token is null").first()
-    least = max(2, -(-(total.n if total else 0) // MAX_FREQUENT))
-    table = counts.where((F.col("n") >= least) & F.col("token").isNotNull()).toArrow()
-    tokens = table["token"].to_numpy().view(_U64)
-    order = np.argsort(tokens)
-    return Frequent(tokens[order], table["n"].to_numpy()[order])
-
-
-def _repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
-    every = np.concatenate([np.zeros(0, _U64), *sets])
-    tokens, counts = np.unique(every, return_counts=True)
-    some = counts >= 2
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([pa.array(tokens[some].view(np.int64)), pa.nulls(1, pa.int64())]),
-            pa.array(np.append(counts[some], len(every))),
-        ],
-        ["token", "n"],
-    )
+    """The counts of the n-grams of all documents, by cell."""
+    texts = docs.select(F.col("text").cast("binary"))
+    pieces = stored(tally(texts, lambda batch: _all_sets(batch.column(0), n), CELL_BITS), "counts")
+    counts = gathered(pieces, CELL_BITS)
+    return Frequent(None, counts, int(counts.mean()))
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int, usual: int = 0) -> tuple[int, np.ndarray]:
     """The matches a set asks for, and the n-grams of its prefix.
 
-    Posting visits cost one each; a candidate costs a share of the set's size to verify,
+    What counts have beyond the ``usual`` one of a cell is the n-gram's own. Posting visits cost one each; a candidate costs a share of the set's size to verify,
     and each further match asked for leaves about a quarter of the candidates.
     """
     size = len(tokens)
     needed = -(-percent * size // 100)
     order = np.argsort(counts, kind="stable")  # tokens are ascending, so ties are by token
     most = min(MOST_MATCHES, needed)
-    visits = np.cumsum(np.maximum(counts[order], 1))
+    visits = np.cumsum(np.maximum(counts[order] - usual, 1))
     matches = np.arange(1, most + 1)
     visited = visits[size - needed + matches - 1].astype(float)
     cost = visited * (1 + size / 16 / matches / 4.0 ** (matches - 1))
@@ -237,7 +204,7 @@ def _prefixes(
         sigs, sizes, ks, prefixes, rows = [], [], [], [], []
         for row, tokens in enumerate(_all_sets(batch.column(1), n)):
             if len(tokens):
-                k, chosen = prefix(tokens, table.of(tokens), percent)
+                k, chosen = prefix(tokens, table.of(tokens), percent, table.usual)
                 rows.append(row)
                 sigs.append(signature(tokens))
                 sizes.append(len(tokens))
@@ -328,7 +295,7 @@ def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     )
     # Shuffled at every size: the lists of places have no bound that would allow a broadcast.
     side = stored(jobs, "jobs").withColumnRenamed("doc_id", "id").hint("shuffle_hash")
-    texts = _with_ids(docs).join(side, F.col("doc_id") == F.col("id"))
+    texts = only_ids(_with_ids(docs), side.select("id")).join(side, F.col("doc_id") == F.col("id"))
 
     @F.arrow_udf("binary")
     def tokens_of(sources: pa.Array, sigs: pa.Array) -> pa.Array:
