@@ -8,6 +8,7 @@ shuffled is about a byte and a half for each key at most.
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PIECE = 1 << 16  # cells in one row on their way
-ID_BITS = 23
+ID_BITS = 22
 
 _U64 = np.uint64
 _SCHEMA = "piece int, packed binary"
@@ -35,7 +36,8 @@ def tally(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.ndarray]
     """How many keys of all ``rows`` fall in each of ``2**bits`` cells, in pieces for ``gathered``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        # Mapped apart, so that idle workers give it back whole: malloc would keep as much.
+        counts = np.frombuffer(mmap.mmap(-1, 4 << bits), np.uint32)
         for batch in batches:
             for found in keys(batch):
                 np.add.at(counts, cells_of(found, bits), np.uint32(1))

@@ -157,7 +157,8 @@ def frequent(docs: DataFrame, n: int) -> Frequent:
     texts = docs.select(F.col("text").cast("binary"))
     pieces = stored(tally(texts, lambda batch: _all_sets(batch.column(0), n), CELL_BITS), "counts")
     counts = gathered(pieces, CELL_BITS)
-    return Frequent(None, counts, int(counts.mean()))
+    # Two bytes a cell: what more documents have is frequent anyway.
+    return Frequent(None, np.minimum(counts, 65535).astype(np.uint16), int(counts.mean()))
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int, usual: int = 0) -> tuple[int, np.ndarray]:
